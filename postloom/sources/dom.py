@@ -8,15 +8,20 @@ join or a shuffle.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postloom.functions.text import strip
 
+# executors get the worker code with the plan and need no copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 NODE_TYPE = (
     "array<struct<nid:int,size:int,tag:string,attrs:map<string,string>,"
     "text:string,only:string,text_len:int,path:array<int>>>"
@@ -88,7 +93,13 @@ class _Flattener(HTMLParser):
 
     def handle_data(self, data):
         raw = bool(self.open) and self.nodes[self.open[-1]]["tag"] in _RAW
-        self._add(RAW_TEXT if raw else TEXT, None, data)
+        kind = RAW_TEXT if raw else TEXT
+        last = self.nodes[-1] if self.nodes else None
+        if last and last["tag"] == kind and last["path"] == self.open:
+            last["text"] += data  # the parser may hand one text over in parts
+            last["text_len"] = len(last["text"].strip()) if kind == TEXT else 0
+        else:
+            self._add(kind, None, data)
 
     def handle_comment(self, data):
         self._add(COMMENT, None, data)
@@ -138,8 +149,11 @@ def with_nodes(pages: DataFrame) -> DataFrame:
 
 
 def subtree(nodes: Column, node: Column) -> Column:
-    """The node itself and everything below it, in document order."""
-    return F.slice(nodes, node["nid"] + 1, node["size"])
+    """The node itself and everything below it, in document order.
+
+    ``nodes`` may be a page or a subtree that holds the node.
+    """
+    return F.slice(nodes, node["nid"] - F.get(nodes, 0)["nid"] + 1, node["size"])
 
 
 def is_element(n: Column) -> Column:
@@ -169,6 +183,11 @@ def inner_text(nodes: Column, sep: str = "") -> Column:
     return F.array_join(text_pieces(nodes), sep)
 
 
+def raw_text(nodes: Column) -> Column:
+    """Visible text as it stands, nothing trimmed."""
+    return F.array_join(F.transform(F.filter(nodes, lambda n: n["tag"] == TEXT), lambda n: n["text"]), "")
+
+
 def text_of(nodes: Column, node: Column, sep: str = "") -> Column:
     """Visible text of one element; null when there is no such element."""
     return F.when(node.isNotNull(), inner_text(subtree(nodes, node), sep))
