@@ -23,10 +23,7 @@ SEARCH_WORDS = [
 PLACES = ["東京", "大阪", "リモート", "New York/東"]
 TITLES = ["デザイナー", "エンジニア", "募集", "staff"]
 CITIES = ["東京都", "大阪府", "福岡市", "在宅勤務"]
-JOB_FIELDS = (
-    "id", "title", "company", "description", "salary_text", "salary_annual_min", "salary_annual_max",
-    "location", "url", "job_board", "scraped_at", "updated_at", "fingerprint", "last_seen_at", "is_active",
-)
+GREEN_FILL = "文" * 101
 
 
 def pick(words: list[str], index: Column) -> Column:
@@ -274,6 +271,93 @@ class Views:
         )
 
 
+    def board_pages(self, board: str) -> DataFrame:
+        """Result pages of a board with the postings of ``v_card``, 50 ids to a page."""
+        card, tail = CARDS[board]
+        pages = self.v_card.groupBy("page_no").agg(
+            F.array_join(F.transform(
+                F.array_sort(F.collect_list(F.struct(F.col("id"), card().alias("html")))), lambda c: c["html"]
+            ), "," if board == "wantedly_state" else "").alias("cards"))
+        head, foot = PAGE_FRAMES.get(board, ("<html><body><div class=\"list\">", "</div>"))
+        return pages.select(
+            F.col("page_no").alias("page_id"), F.lit(board).alias("source"), "page_no",
+            F.concat(F.lit(head), "cards", F.lit(foot), tail(), F.lit("</body></html>")).alias("html"),
+        )
+
+
+def _html(*parts) -> Column:
+    """Concatenate literal text and columns; (name,) is a column, null as ''."""
+    return F.concat(*[
+        F.lit(p) if isinstance(p, str) else F.coalesce((F.col(p[0]) if isinstance(p, tuple) else p).cast("string"), F.lit(""))
+        for p in parts
+    ])
+
+
+def _doda_card() -> Column:
+    pay = F.when(F.col("salary_text").isNotNull(), _html(
+        "<dl><dt><span>給与</span></dt><dd>", ("salary_text",), "</dd></dl>"))
+    return _html(
+        '<article class="jobCard"><h2>', ("company",), '</h2><a href="/DodaFront/View/JobSearchDetail/j_jid__', ("id",),
+        '/">', ("company",), ("title",), '</a><div class="jobCard-body"><dl><dt><span>勤務地</span></dt><dd>',
+        ("location",), "</dd></dl>", pay, "<p>", ("description",), "</p></div></article>")
+
+
+def _green_card() -> Column:
+    pay = F.when(F.col("salary_text").isNotNull(), _html("<p>", ("salary_text",), "</p>"))
+    return _html(
+        '<div class="card"><p>New</p><p>', ("company",), '</p><div class="inner"><a href="/job/', ("id",), '">',
+        ("title",), "</a></div><p>", ("location",), "</p>", pay, "<p>", ("description",), " " + GREEN_FILL, "</p></div>")
+
+
+def _indeed_card() -> Column:
+    key = F.col("id")
+    pay = F.when(F.col("salary_text").isNotNull(), _html("<div>", ("salary_text",), "</div>"))
+    jk = F.when(key % 5 != 0, _html(' data-jk="jk', ("id",), '"'))
+    text = F.when(key % 3 == 0, _html('<div class="job-snippet">', ("description",), "</div>")).when(
+        key % 3 == 1, _html('<table class="jobCardShelfContainer"><tr><td>', ("description",), "</td></tr></table>"))
+    return _html(
+        '<div class="job_seen_beacon"><h2><a class="jcs-JobTitle css-1"', jk, ' href="/rc/clk?jk=', ("id",), '">', ("title",),
+        '</a></h2><span data-testid="company-name">', ("company",), '</span><div data-testid="text-location">',
+        ("location",), "</div>", pay, text, "</div>")
+
+
+def _state_card() -> Column:
+    key = F.col("id")
+    firm = F.when(key % 4 != 3, _html(',"Company:c', ("id",), '":{"name":"', ("company",), '"}'))
+    return _html(
+        '"Project:', ("id",), '":{"id":', ("id",), ',"title":"', ("title",), '","company":{"id":"c', ("id",),
+        '"},"locationName":"', ("location",), '","excerpt":"',
+        F.when(key % 2 == 0, F.col("description")), '","description":"', ("title",), '"}', firm)
+
+
+def _link_card() -> Column:
+    return _html(
+        '<div class="project-card"><a href="/projects/', ("id",), '?ref=x">', ("title",), " ", F.col("id") % 9,
+        ' エントリー</a><p class="company-name">', ("company",), "</p></div>")
+
+
+def _tail(make):
+    """Next link on all but every seventh page."""
+    def tail() -> Column:
+        page = F.col("page_no")
+        return F.when(page % 7 != 0, make(page)).otherwise("")
+
+    return tail
+
+
+CARDS = {
+    "doda": (_doda_card, _tail(lambda p: _html('<a href="/DodaFront/list?page=', p + 1, '">次へ</a>'))),
+    "green": (_green_card, _tail(lambda p: _html('<a href="/search_key?page=', p + 1, '">', p + 1, "</a>"))),
+    "indeed": (_indeed_card, _tail(lambda p: F.when(
+        p % 2 == 0, _html('<a data-testid="pagination-page-next" href="/jobs?start=', p + 1, '">&gt;</a>')
+    ).otherwise(_html('<nav aria-label="pagination"><a href="#">1</a><a aria-label="次のページ" href="/jobs?start=', p + 1, '">&gt;</a></nav>')))),
+    "wantedly_state": (_state_card, _tail(lambda p: F.lit('<a href="/projects">Next</a>'))),
+    "wantedly": (_link_card, _tail(lambda p: _html('<a href="/list?page=', p + 1, '">more</a>'))),
+}
+PAGE_FRAMES = {"wantedly_state": (
+    "<html><head><script>var a = 1;</script><script>window.__APOLLO_STATE__ = {", "};</script></head><body>")}
+
+
 def _vocab(index: str, words: list[str] = VOCABULARY) -> str:
     return "[" + ",".join(f"'{w}'" for w in words) + f"][1 + cast(({index}) % {len(words)} as int)]"
 
@@ -340,7 +424,8 @@ SQL = {
       SELECT o_orderkey AS id, o_custkey AS user_id, o_orderkey AS job_id,
         (o_orderkey * 7 % 101)::double / 100 AS match_score, o_orderdate AS matched_at FROM orders""",
     "v_posts": f"""
-      SELECT row(l_shipdate, l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice) AS seq,
+      SELECT {{'l_shipdate': l_shipdate, 'l_orderkey': l_orderkey, 'l_partkey': l_partkey, 'l_suppkey': l_suppkey,
+              'l_linenumber': l_linenumber, 'l_extendedprice': l_extendedprice}} AS seq,
         CASE WHEN l_quantity <> 13 THEN p_name || ' ' || p_type END AS title,
         CASE l_linenumber % 3 WHEN 0 THEN '株式会社 ' || s_name WHEN 1 THEN upper(s_name) ELSE s_name END AS company,
         p_brand AS description, {_sql_salary_text('o_orderkey', 'o_totalprice')} AS salary_text,
