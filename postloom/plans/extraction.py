@@ -12,6 +12,7 @@ from postloom.plans.registry import query
 from postloom.plans.views import GREEN_FILL
 from postloom.sources import boards, dom, paging, profile
 from postloom.sources.state import state_json
+from postloom.sources.tables import src_pages
 
 c = F.col
 RECORD = ("job_id", "title", "company", "location", "salary_text", "salary_annual_min", "salary_annual_max",
@@ -23,7 +24,7 @@ def nodes(v, board):
 
 
 def raw_pages(v):
-    return dom.with_nodes(v.table("pages"))
+    return dom.with_nodes(src_pages(v.spark, f"{v.folder}/pages.parquet"))
 
 
 _DODA = f"""SELECT cast(k.id as varchar) AS job_id, title, company, location, k.salary_text, lo AS salary_annual_min, hi AS salary_annual_max,
@@ -45,9 +46,10 @@ _INDEED = f"""SELECT 'jk' || k.id AS job_id, title, company, location, pay AS sa
   FROM (SELECT *, {_PAY_INDEED} AS pay FROM v_card) k
   JOIN ({sql_salary_indeed(f"(SELECT id, {_PAY_INDEED} AS salary_text FROM v_card)")}) s ON s.id = k.id WHERE k.id % 5 <> 0"""
 _NO_PAY = "NULL::varchar AS salary_text, NULL::bigint AS salary_annual_min, NULL::bigint AS salary_annual_max"
+# a project whose id is the number 0 counts as having none
 _STATE = f"""SELECT cast(id as varchar) AS job_id, title, CASE WHEN id % 4 <> 3 THEN company ELSE '' END AS company, location, {_NO_PAY},
     'https://www.wantedly.com/projects/' || id AS url, 'wantedly' AS job_board,
-    CASE WHEN id % 2 = 0 THEN description ELSE title END AS description FROM v_card"""
+    CASE WHEN id % 2 = 0 THEN description ELSE title END AS description FROM v_card WHERE id <> 0"""
 
 
 def _links(title):
@@ -122,7 +124,7 @@ def _(v):
         "page_id", F.size(state_json(c("nodes"))["entries"]).cast("bigint").alias("entries"))
 
 
-@query("j_company_ref", "SELECT cast(id as varchar) AS job_id, CASE WHEN id % 4 <> 3 THEN company ELSE '' END AS company FROM v_card")
+@query("j_company_ref", "SELECT cast(id as varchar) AS job_id, CASE WHEN id % 4 <> 3 THEN company ELSE '' END AS company FROM v_card WHERE id <> 0")
 def _(v):
     return boards.cards_wantedly_state(nodes(v, "wantedly_state")).select("job_id", "company")
 

@@ -279,10 +279,12 @@ class Views:
                 F.array_sort(F.collect_list(F.struct(F.col("id"), card().alias("html")))), lambda c: c["html"]
             ), "," if board == "wantedly_state" else "").alias("cards"))
         head, foot = PAGE_FRAMES.get(board, ("<html><body><div class=\"list\">", "</div>"))
-        return pages.select(
+        whole = pages.select(
             F.col("page_no").alias("page_id"), F.lit(board).alias("source"), "page_no",
             F.concat(F.lit(head), "cards", F.lit(foot), tail(), F.lit("</body></html>")).alias("html"),
         )
+        # a page costs far more to read than its bytes suggest, so rows count here
+        return whole.repartition(self.spark.sparkContext.defaultParallelism)
 
 
 def _html(*parts) -> Column:

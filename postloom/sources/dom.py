@@ -11,13 +11,14 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import accumulate, chain
 
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postloom.functions.text import strip
+from postloom.functions.text import bind, strip
 
 # executors get the worker code with the plan and need no copy of the package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -41,34 +42,41 @@ _BLOCK = set(
     "address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 "
     "header hr main nav ol p pre section table ul".split()
 )
+_PARAGRAPH = {"p"}
 _SIBLING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"},
             "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 _SCOPE = {"ul", "ol", "dl", "table", "select", "div", "article", "section", "body"}
 
 
 class _Flattener(HTMLParser):
+    """Collects the nodes of one page as parallel lists."""
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.nodes: list[dict] = []
-        self.open: list[int] = []
-
-    def _add(self, tag: str, attrs: dict | None, text: str | None) -> int:
-        nid = len(self.nodes)
-        self.nodes.append({
-            "nid": nid, "size": 1, "tag": tag, "attrs": attrs, "text": text, "only": None,
-            "text_len": len(text.strip()) if tag == TEXT else 0, "path": list(self.open),
-        })
-        return nid
+        self.tags: list[str] = []
+        self.attrs: list[list[tuple[str, str]]] = []
+        self.texts: list[str | None] = []
+        self.paths: list[tuple[int, ...]] = []
+        self.open: tuple[int, ...] = ()
+
+    def _add(self, tag: str, attrs: list, text: str | None) -> int:
+        self.tags.append(tag)
+        self.attrs.append(attrs)
+        self.texts.append(text)
+        self.paths.append(self.open)
+        return len(self.tags) - 1
 
     def _close_implied(self, tag: str) -> None:
-        names = [self.nodes[i]["tag"] for i in self.open]
-        ends = _SIBLING.get(tag, set()) | ({"p"} if tag in _BLOCK else set())
-        for depth in range(len(names) - 1, -1, -1):
-            if names[depth] in ends:
-                del self.open[depth:]
+        ends = _SIBLING.get(tag) or (_PARAGRAPH if tag in _BLOCK else None)
+        if not ends:
+            return
+        for depth in range(len(self.open) - 1, -1, -1):
+            name = self.tags[self.open[depth]]
+            if name in ends:
+                self.open = self.open[:depth]
                 if tag not in _SIBLING:
                     return
-            elif names[depth] in _SCOPE:
+            elif name in _SCOPE:
                 return
 
     def handle_starttag(self, tag, attrs):
@@ -76,53 +84,85 @@ class _Flattener(HTMLParser):
         seen: dict[str, str] = {}
         for key, value in attrs:
             seen.setdefault(key, value or "")
-        nid = self._add(tag, seen, None)
+        nid = self._add(tag, list(seen.items()), None)
         if tag not in _VOID:
-            self.open.append(nid)
+            self.open += (nid,)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in _VOID:
-            self.open.pop()
+            self.open = self.open[:-1]
 
     def handle_endtag(self, tag):
         for depth in range(len(self.open) - 1, -1, -1):
-            if self.nodes[self.open[depth]]["tag"] == tag:
-                del self.open[depth:]
+            if self.tags[self.open[depth]] == tag:
+                self.open = self.open[:depth]
                 return
 
     def handle_data(self, data):
-        raw = bool(self.open) and self.nodes[self.open[-1]]["tag"] in _RAW
+        raw = bool(self.open) and self.tags[self.open[-1]] in _RAW
         kind = RAW_TEXT if raw else TEXT
-        last = self.nodes[-1] if self.nodes else None
-        if last and last["tag"] == kind and last["path"] == self.open:
-            last["text"] += data  # the parser may hand one text over in parts
-            last["text_len"] = len(last["text"].strip()) if kind == TEXT else 0
+        if self.tags and self.tags[-1] == kind and self.paths[-1] == self.open:
+            self.texts[-1] += data  # the parser may hand one text over in parts
         else:
-            self._add(kind, None, data)
+            self._add(kind, [], data)
 
     def handle_comment(self, data):
-        self._add(COMMENT, None, data)
-
-
-def _page_nodes(html: str | None) -> list[dict]:
+        self._add(COMMENT, [], data)
+
+    def totals(self) -> tuple[list[int], list[str | None], list[int]]:
+        """Per node: nodes below it and itself, text of a lone child, visible characters."""
+        count = len(self.tags)
+        sizes, children = [1] * count, [0] * count
+        only: list[str | None] = [None] * count
+        lengths = [
+            len(text.strip()) if tag == TEXT else 0 for tag, text in zip(self.tags, self.texts, strict=True)
+        ]
+        for nid in range(count - 1, -1, -1):
+            if not self.paths[nid]:
+                continue
+            parent = self.paths[nid][-1]
+            sizes[parent] += sizes[nid]
+            lengths[parent] += lengths[nid]
+            children[parent] += 1
+            # nodes come last to first, so the count is final at the first child
+            own = self.texts[nid] if self.texts[nid] is not None else only[nid]
+            only[parent] = own if children[parent] == 1 else None
+        return sizes, only, lengths
+
+
+def _page(html: str | None) -> _Flattener:
     parser = _Flattener()
     parser.feed(html or "")
     parser.close()
-    nodes = parser.nodes
-    children = [0] * len(nodes)
-    for node in reversed(nodes):
-        if not node["path"]:
-            continue
-        parent = nodes[node["path"][-1]]
-        parent["size"] += node["size"]
-        parent["text_len"] += node["text_len"]
-        children[parent["nid"]] += 1
-        # the text of an element whose only child carries it; nodes come in
-        # reverse, so the first child is seen last and the count is final then
-        own = node["text"] if node["text"] is not None else node["only"]
-        parent["only"] = own if children[parent["nid"]] == 1 else None
-    return nodes
+    return parser
+
+
+def _offsets(lengths) -> pa.Array:
+    return pa.array(list(accumulate(lengths, initial=0)), type=pa.int32())
+
+
+def _node_lists(pages: list[_Flattener]) -> pa.Array:
+    """One list of node structs per page, put together column by column."""
+    flat = lambda rows: list(chain.from_iterable(rows))
+    totals = [p.totals() for p in pages]
+    attrs, paths = flat(p.attrs for p in pages), flat(p.paths for p in pages)
+    pairs = flat(attrs)
+    columns = [
+        pa.array(flat(range(len(p.tags)) for p in pages), pa.int32()),
+        pa.array(flat(t[0] for t in totals), pa.int32()),
+        pa.array(flat(p.tags for p in pages), pa.string()),
+        pa.MapArray.from_arrays(
+            _offsets(map(len, attrs)),
+            pa.array([k for k, _ in pairs], pa.string()), pa.array([v for _, v in pairs], pa.string()),
+        ),
+        pa.array(flat(p.texts for p in pages), pa.string()),
+        pa.array(flat(t[1] for t in totals), pa.string()),
+        pa.array(flat(t[2] for t in totals), pa.int32()),
+        pa.ListArray.from_arrays(_offsets(map(len, paths)), pa.array(flat(paths), pa.int32())),
+    ]
+    nodes = pa.StructArray.from_arrays(columns, fields=list(_ARROW_NODE))
+    return pa.ListArray.from_arrays(_offsets(len(p.tags) for p in pages), nodes)
 
 
 def _flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,11 +170,7 @@ def _flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for start in range(0, batch.num_rows, _ROWS_PER_SLICE):
             part = batch.slice(start, _ROWS_PER_SLICE)
             html = part.column(part.schema.get_field_index("html")).to_pylist()
-            pages = [
-                [{**n, "attrs": list((n["attrs"] or {}).items())} for n in _page_nodes(page)]
-                for page in html
-            ]
-            nodes = pa.array(pages, type=pa.list_(_ARROW_NODE))
+            nodes = _node_lists([_page(page) for page in html])
             keep = [i for i, name in enumerate(part.schema.names) if name != "html"]
             yield pa.RecordBatch.from_arrays(
                 [part.column(i) for i in keep] + [nodes],
@@ -190,4 +226,4 @@ def raw_text(nodes: Column) -> Column:
 
 def text_of(nodes: Column, node: Column, sep: str = "") -> Column:
     """Visible text of one element; null when there is no such element."""
-    return F.when(node.isNotNull(), inner_text(subtree(nodes, node), sep))
+    return bind(node, lambda n: F.when(n.isNotNull(), inner_text(subtree(nodes, n), sep)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postloom.functions.text import contains_any
+from postloom.functions.text import bind, contains_any
 from postloom.sources import dom
 
 # Patterns, phrases and limits of the page report.
@@ -128,22 +128,22 @@ def flag_no_results(pages: DataFrame) -> DataFrame:
 def dom_outline(pages: DataFrame, max_depth: int = OUTLINE_DEPTH) -> DataFrame:
     """Structural elements reachable from body through structural elements only."""
     nodes = F.col("nodes")
-    body = F.array_position(F.transform(nodes, lambda n: n["tag"]), "body") - 1
-
-    def chain(n):
-        """Ancestors between body and the node."""
-        at = F.array_position(n["path"], body.cast("int"))
-        return F.when(at > 0, F.slice(n["path"], (at + 1).cast("int"), F.size(n["path"])))
-
-    def listed(n):
-        above = F.transform(chain(n), lambda p: F.get(nodes, p)["tag"])
-        return n["tag"].isin(STRUCTURE_TAGS) & F.forall(above, lambda t: t.isin(STRUCTURE_TAGS))
-
-    shown = F.transform(F.filter(nodes, listed), lambda n: F.struct(
-        n["nid"].alias("nid"), (F.size(chain(n)) + 1).alias("depth"), n["tag"].alias("tag"),
-        F.left(dom.attr(n, "id"), F.lit(OUTLINE_ID)).alias("id"),
-        F.left(dom.attr(n, "class"), F.lit(OUTLINE_CLASS)).alias("class"),
+    structural = F.transform(nodes, lambda n: n["tag"].isin(STRUCTURE_TAGS))
+    body = F.array_position(F.transform(nodes, lambda n: n["tag"]), "body").cast("int") - 1
+
+    def below_body(page):
+        """(node, ancestors between body and it) of structural elements near enough to body."""
+        held = F.filter(nodes, lambda n: F.get(page["structural"], n["nid"]) & F.array_contains(n["path"], page["body"]))
+        chained = F.transform(held, lambda n: F.struct(n.alias("n"), F.slice(
+            n["path"], F.array_position(n["path"], page["body"]).cast("int") + 1, F.size(n["path"])).alias("above")))
+        return F.filter(chained, lambda x: (F.size(x["above"]) < max_depth) & F.forall(
+            x["above"], lambda p: F.get(page["structural"], p)))
+
+    # both page-wide values are computed once per page, not once per node
+    found = bind(F.struct(structural.alias("structural"), body.alias("body")), below_body)
+    shown = F.transform(found, lambda x: F.struct(
+        x["n"]["nid"].alias("nid"), (F.size(x["above"]) + 1).alias("depth"), x["n"]["tag"].alias("tag"),
+        F.left(dom.attr(x["n"], "id"), F.lit(OUTLINE_ID)).alias("id"),
+        F.left(dom.attr(x["n"], "class"), F.lit(OUTLINE_CLASS)).alias("class"),
     ))
-    return pages.select("page_id", F.explode(shown).alias("o")).select("page_id", "o.*").where(
-        F.col("depth") <= max_depth
-    )
+    return pages.select("page_id", F.explode(shown).alias("o")).select("page_id", "o.*")

@@ -22,6 +22,20 @@ def src_html_files(spark: SparkSession, folder: str) -> DataFrame:
     return pages.select(F.input_file_name().alias("url"), F.col("value").alias("html"))
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Rows of a small scan over all cores; a scan with splits enough stays as it is.
+
+    For scans only: counting the splits of anything else would run it.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
+def src_pages(spark: SparkSession, path: str) -> DataFrame:
+    """Landed pages, ready for the per-page extractors."""
+    return spread(spark.read.parquet(path))
+
+
 def sink_html(pages: DataFrame, folder: str) -> None:
     """Land raw pages for later extraction."""
     pages.write.mode("append").parquet(folder)
