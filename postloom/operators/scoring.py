@@ -71,7 +71,7 @@ def salary_overlap(job_min: Column, job_max: Column, user_min: Column, user_max:
     low = F.coalesce(F.nullif(job_min, F.lit(0)), job_max)
     high = F.coalesce(F.nullif(job_max, F.lit(0)), job_min)
     want_low, want_high = F.coalesce(user_min, F.lit(0)), F.nullif(user_max, F.lit(0))
-    touches = (want_high.isNull() | (low <= want_high)) & (high >= want_low)
+    touches = low.isNotNull() & (want_high.isNull() | (low <= want_high)) & (high >= want_low)
     return (
         F.when(job_min.isNull() & job_max.isNull(), False)
         .when(user_min.isNull() & user_max.isNull(), True)
