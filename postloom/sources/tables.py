@@ -108,8 +108,8 @@ def seed_rows(spark: SparkSession, as_of: str) -> dict[str, DataFrame]:
     """The four tables with one sample user, criteria row, posting and match."""
     at = F.lit(as_of).cast("timestamp_ntz")
 
-    def table(name: str, **values) -> DataFrame:
-        fields = spark.createDataFrame([], TABLES[name]).schema.fields
+    def table(_table: str, **values) -> DataFrame:
+        fields = spark.createDataFrame([], TABLES[_table]).schema.fields
         return spark.range(1).select(*[
             values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in fields
         ])
