@@ -33,7 +33,8 @@ def ordered_dedup(records: DataFrame, url: str = "url", fp: str = "fingerprint",
     Only keys travel through the rounds: copies of one (url, fingerprint) pair
     are folded first, minima are combined before each shuffle, and the two
     minima meet on the unique ``seq`` instead of on a key that may be hot.
-    Each round is written to the shared folder.
+    Each round is written to the shared folder.  ``records`` is read before and
+    after the rounds: write it first when it is costly to compute.
     """
     undecided = written(
         records.where(F.col(url).isNotNull())

@@ -10,6 +10,7 @@ from postloom.functions import urls
 from postloom.operators import scoring
 from postloom.plans.registry import query
 from postloom.plans.views import sql_fingerprint, sql_norm_fingerprint, sql_norm_match
+from postloom.sources.tables import spread
 
 c = F.col
 AMOUNT = r"(\d{1,3}(?:,\d{3})*|\d+)"
@@ -75,13 +76,13 @@ def _(v):
 @query("fingerprint", f"""
   SELECT doc_id, {sql_fingerprint('text', 'source', 'lang')} AS fingerprint FROM documents""")
 def _(v):
-    return v.table("documents").select("doc_id", tx.fingerprint(c("text"), c("source"), c("lang")).alias("fingerprint"))
+    return spread(v.table("documents")).select("doc_id", tx.fingerprint(c("text"), c("source"), c("lang")).alias("fingerprint"))
 
 
 @query("norm_match", f"SELECT doc_id, md5({sql_norm_match('text')}) AS digest, length({sql_norm_match('text')}) AS size FROM documents")
 def _(v):
     n = tx.norm_match(c("text"))
-    return v.table("documents").select("doc_id", F.md5(n).alias("digest"), F.length(n).cast("bigint").alias("size"))
+    return spread(v.table("documents")).select("doc_id", F.md5(n).alias("digest"), F.length(n).cast("bigint").alias("size"))
 
 
 @query("text_lines", r"""
