@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postloom.functions.text import fingerprint
+from postloom.sources.tables import spread
 
 # Fixed values of the derivation.
 VOCABULARY = "small hot widget gear plate red blue bolt large rod ring gizmo old cold anvil new".split()
@@ -129,7 +130,7 @@ class Views:
         """Incoming records, one per order line; ``seq`` is the arrival order."""
         line = F.col("l_linenumber")
         rows = (
-            self.table("lineitem")
+            spread(self.table("lineitem"))
             .join(self.table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
             .join(self.table("part"), F.col("l_partkey") == F.col("p_partkey"))
             .join(self.table("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
