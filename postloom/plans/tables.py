@@ -20,6 +20,16 @@ def _(v):
     return v.spark.read.parquet(folder).select("page_id", "url", F.md5("html").alias("digest"))
 
 
+@query("src_html_files", "SELECT page_id, md5(html) AS digest FROM pages")
+def _(v):
+    folder = new_folder(v.spark, "saved")
+    v.table("pages").select("page_id", c("html").alias("value")).write.partitionBy("page_id").text(folder)
+    saved = tables.src_html_files(v.spark, folder)
+    page = F.regexp_extract("url", r"page_id=(\d+)/", 1).cast("bigint")
+    # the writer ends every file with a line break
+    return saved.select(page.alias("page_id"), F.md5(F.substring("html", F.lit(1), F.length("html") - 1)).alias("digest"))
+
+
 @query("src_tables", """
   SELECT 'users' AS name, count(*) AS found FROM v_users UNION ALL SELECT 'criteria', count(*) FROM v_criteria
   UNION ALL SELECT 'jobs', count(*) FROM v_jobs UNION ALL SELECT 'matched_jobs', count(*) FROM v_matches""")
