@@ -102,11 +102,18 @@ def _job_links(nodes: Column, board: str) -> Column:
 
 
 def first_per_key(nodes: Column, key: Callable) -> Column:
-    """Nodes whose key did not occur earlier in the array."""
-    return tx.bind(
-        F.transform(nodes, key),
-        lambda keys: F.filter(nodes, lambda n, i: F.array_position(keys, key(n)) == i + 1),
-    )
+    """Nodes whose key did not occur earlier in the array.
+
+    Sorting by key puts repeats side by side, so a page with very many links
+    costs n log n steps.
+    """
+    ranked = F.array_sort(F.transform(nodes, lambda n, i: F.struct(key(n).alias("k"), i.alias("i"))))
+
+    def heads(sorted_keys):
+        first = F.filter(sorted_keys, lambda x, j: (j == 0) | (F.get(sorted_keys, j - 1)["k"] != x["k"]))
+        return F.transform(F.array_sort(F.transform(first, lambda x: x["i"])), lambda i: F.get(nodes, i))
+
+    return tx.bind(ranked, heads)
 
 
 def green_holders(nodes: Column) -> Column:
