@@ -119,3 +119,80 @@ def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_duplicates(table(spark, folder, "documents"), keep="largest").select(
         F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256")
     )
+
+
+def word_bpe() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op3_token_counts")
+def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    from postloom.llm.token_counts import token_counts
+
+    return token_counts(table(spark, folder, "documents"), word_bpe()).select(
+        F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit")
+    )
+
+
+@query("op4_bpe")
+def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    from postloom.llm.bpe import encode_decode
+
+    return encode_decode(table(spark, folder, "documents"), word_bpe(), digests=True).withColumnRenamed("id", "doc_id")
+
+
+@query("op9_language_id")
+def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    from postloom.llm import language
+
+    docs = table(spark, folder, "documents")
+    return language.predict(docs, language.fit_outside_fold(docs)).select(
+        F.col("id").alias("doc_id"), language.is_held_out(F.col("id")).alias("held_out"), F.col("lang").alias("lang_pred"),
+        "score", "rejected",
+    )
+
+
+@query("op10_simhash")
+def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    from postloom.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, folder, "documents"), words=3, max_bits=3).select(
+        F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
+    )
+
+
+@query("op6_topk", """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20""")
+def op6_topk(spark: SparkSession, folder: str) -> DataFrame:
+    from postloom.llm.topk import top_k
+
+    vectors = table(spark, folder, "embeddings")
+    return top_k(vectors, F.col("vec_id") % 20 == 0, k=20, scale=64).withColumnRenamed("id", "vec_id")
+
+
+@query("op8_warc", """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+best AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS last FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id < last THEN last END AS refers_to
+FROM best""")
+def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
+    from postloom.llm import warc
+
+    found = warc.read_payloads(spark, warc.write_archives(table(spark, folder, "pages"), min_bytes=1000))
+    page = lambda c: F.regexp_extract(c, r"^<urn:page:v(-?\d+):\d+>$", 1).try_cast("long")
+    return found.select(
+        page("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"),
+        page("refers_to").alias("refers_to"),
+    )
