@@ -35,6 +35,8 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct()
     edges = written(edges, "edges")
+    if not edges.limit(1).count():
+        return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     mark = None
     while True:
         both = written(edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), "edges-both")
