@@ -107,14 +107,13 @@ def dedup_lines(
     spark = docs.sparkSession
     ident = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
     base = docs.select(ident.alias("id"), or_empty(F.col(text_col)).alias("text"))
-    key = lambda line: F.when(F.length(line_key(line)) >= min_chars, line_key(line))
-    h1 = lambda k: F.when(k.isNotNull(), F.xxhash64(k)).otherwise(F.lit(0).cast("long"))
+    key_hash = lambda k: F.when(F.length(k) >= min_chars, F.xxhash64(k)).otherwise(F.lit(0).cast("long"))
+    keys_of = F.transform(F.split("text", "\n"), line_key)  # in an array, so that each key is made once
 
     cuts = base.agg(F.percentile_approx("id", [i / batches for i in range(1, batches)]).alias("c")).first()["c"] or []
     batch = sum([(F.col("id") > c).cast("int") for c in sorted(set(cuts))], F.lit(0))
-    lines = base.select("id", F.explode(F.split("text", "\n")).alias("line")).select("id", key(F.col("line")).alias("key"))
-    hashed = lines.where("key IS NOT NULL").select(
-        batch.alias("batch"), "id", h1(F.col("key")).alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2")
+    hashed = base.select("id", F.explode(keys_of).alias("key")).where(F.length("key") >= min_chars).select(
+        batch.alias("batch"), "id", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2")
     )
     keys = written(hashed, "line-keys")
     runs = LineRuns(spark, buckets, fan)
@@ -126,10 +125,10 @@ def dedup_lines(
     gone = written(gone.groupBy("id").agg(F.collect_set("h1").alias("gone")), "lines-gone")
     runs.close()
 
-    cleaned = base.join(gone, "id", "left").withColumn("lines", F.split("text", "\n"))
+    cleaned = base.join(gone, "id", "left")
+    hashes = F.when(F.col("gone").isNotNull(), F.transform(keys_of, key_hash))  # only where a line goes
     out = cleaned.select(
-        "id", F.size("lines").cast("long").alias("n_lines"),
-        _without("text", F.transform("lines", lambda x: h1(key(x))), "gone").alias("out"),
+        "id", F.size(F.split("text", "\n")).cast("long").alias("n_lines"), _without("text", hashes, "gone").alias("out")
     )
     return out.select(
         F.when(F.col("id") != NO_ID, F.col("id")).alias("id"), "n_lines", "out.n_dropped", "out.text"
