@@ -155,9 +155,9 @@ def near_links(
     """Links (u, v) between the distinct fingerprints ``fps`` (fp), enough to connect all that are linked."""
     n = fps.count()
     depth = max(0, min(math.ceil(math.log2(max(n, 1) / shard_size)), int(math.log2(sample_size)) - 3))
-    sample = np.array(
-        [r["fp"] for r in fps.orderBy(F.xxhash64(F.lit(seed), "fp")).limit(sample_size).collect()], np.int64
-    ).view(np.uint64)
+    # Hashes are uniform: the cut lets about sample_size of the n fingerprints through.
+    drawn = F.xxhash64(F.lit(seed), "fp").cast("double") < (min(1.0, sample_size / max(n, 1)) - 0.5) * 2.0**64
+    sample = np.array(sorted(r["fp"] for r in fps.where(drawn).collect()), np.int64).view(np.uint64)
     width = 64 // parts
     masks = [((1 << width) - 1) << (width * i) for i in range(parts)]
     trees = [plant(sample, mask, max_bits // parts, depth, seed) for mask in masks]
