@@ -1,6 +1,6 @@
 """Exact top-k search by inner product with a vector-approximation file.
 
-The file holds blocks of vectors: per vector its cell in each dimension (16
+The file holds blocks of vectors: per vector its cell in each dimension (64
 cells by default, cut at the block's quantiles), per cell the smallest and
 largest value in it, and the exact vectors in a column of their own.
 
@@ -176,6 +176,8 @@ def _refine(k: int):
                         got_ids, got = np.concatenate([got_ids, ids[some]]), np.concatenate([got, exact_scores(q[i], x[some])])
                         first = _ranked(got_ids, got)[:k]
                         got_ids, got = got_ids[first], got[first]
+                    sure = got >= floor[i]
+                    got_ids, got = got_ids[sure], got[sure]
                     for c, v in (("query", np.full(len(got), qids[i])), ("row", np.full(len(got), i)), ("id", got_ids), ("score", got)):
                         out[c].append(v)
                 merged = {c: np.concatenate(v) for c, v in out.items() if v}
@@ -193,7 +195,7 @@ def _ranked(ids: np.ndarray, scores: np.ndarray) -> np.ndarray:
 
 def top_k(
     vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding",
-    bits: int = 4, block_rows: int = 2048, query_rows: int = 512,
+    bits: int = 6, block_rows: int = 2048, query_rows: int = 512,
 ) -> DataFrame:
     """query_id, rank (from 1), id, score: the k best of all other rows for each query row.
 
