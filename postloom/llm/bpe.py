@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postloom.llm.common import or_empty
+from postloom.llm.common import or_empty, short
 from postloom.llm.token_counts import tokenizer
 from postloom.llm.words import pieces
 
-MAX_PAIRS, MAX_PIECES, SLAB = 1_000_000, 500_000, 2_000_000
+MAX_PAIRS, MAX_PIECES, SLAB = 500_000, 250_000, 1_000_000
 END = "</w>"
 
 
@@ -204,7 +204,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     names = ["ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in short(batches, 512):
             rows = list(encoder(path).encode_texts(b.column("text").to_pylist()))
             out = [[n for n, _, _ in rows], *([r[k] for r in rows] for k in (1, 2))]
             if digests:

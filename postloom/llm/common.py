@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import string
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,3 +41,10 @@ def attach(rows: DataFrame, small: DataFrame, keys: list[str], n: str) -> DataFr
     hot = rows.join(heavy, keys)
     rest = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(light, keys, "left")
     return hot.unionByName(rest)
+
+
+def short(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches, so that few texts at a time become Python strings."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)

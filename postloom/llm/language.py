@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postloom.llm.common import or_empty
+from postloom.llm.common import short
 from postloom.session import written
 
 UNKNOWN = "und"
@@ -171,7 +171,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     kind = base.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in short(batches):
             langs, scores, rejected = model.predict(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [b.column("id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())],
@@ -186,7 +186,7 @@ def keep_known(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
 
     @F.pandas_udf("boolean")
     def rejected(text: pd.Series) -> pd.Series:
-        return pd.Series(model.predict(text.tolist())[2])
+        return pd.Series([r for at in range(0, len(text), 256) for r in model.predict(text.iloc[at : at + 256].tolist())[2]])
 
     return docs.where(~rejected(F.col(text_col)))
 

@@ -19,6 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from postloom.llm.common import SPACES, lower_ascii, or_empty
 from postloom.session import new_folder, written
@@ -77,7 +78,7 @@ class LineRuns:
         self.levels = []
 
 
-@F.pandas_udf("text string, n_dropped long")
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("n_dropped", T.LongType())]))
 def _without(text: pd.Series, hashes: pd.Series, gone: pd.Series) -> pd.DataFrame:
     kept, dropped = [], []
     for t, h, g in zip(text, hashes, gone):

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postloom.llm.common import SPACES, attach, lower_ascii, or_empty, tagged
+from postloom.llm.common import SPACES, attach, lower_ascii, or_empty, short, tagged
 from postloom.llm.components import components
 from postloom.session import written
 
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per row of ``docs``: id, fp (the 64 bits as a long)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in short(batches):
             fps = np.array([fingerprint(t, words, seed) for t in b.column("text").to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(fps.view(np.int64))], ["id", "fp"])
 

@@ -21,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postloom.llm.common import attach, or_empty
+from postloom.llm.common import attach, or_empty, short
 from postloom.llm.words import is_space, pieces
 from postloom.session import written
 
-CACHED_PIECES = 800_000
+CACHED_PIECES = 600_000
 _loaded: dict[str, object] = {}
 
 
@@ -77,7 +77,7 @@ def _count_small(path: str):
         if path not in _counters:  # one per Python worker
             _counters[path] = PieceCounts(path)
         counter = _counters[path]
-        for b in batches:
+        for b in short(batches):
             n = counter.count(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [b.column("id"), b.column("n_bytes"), pa.array(n, pa.int64())], ["id", "n_bytes", "n_tokens"]

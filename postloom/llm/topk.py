@@ -200,7 +200,7 @@ def top_k(
     """query_id, rank (from 1), id, score: the k best of all other rows for each query row.
 
     Score is the inner product of the vectors turned to integers, floor(scale *
-    x); ties go to the smaller id.  Rows without id, and vectors that are null
+    x); ties go to the smaller id.  Rows without id, and vectors that are null, empty
     or hold null or non-finite components, take no part.  Vectors only meet
     those of their own length.  A row is not its own result, nor are rows that
     share its id.  A repeated candidate counts each time, a repeated query is
@@ -210,7 +210,7 @@ def top_k(
     spark = vectors.sparkSession
     whole = vectors.select(
         F.col(id_col).cast("long").alias("id"), whole_vector(F.col(vector_col), scale).alias("v"), is_query.alias("asks")
-    ).where("id IS NOT NULL AND v IS NOT NULL")
+    ).where("id IS NOT NULL AND size(v) > 0")
     file = written(
         whole.select("id", "v").mapInArrow(
             _blocks(block_rows, _vector_block(1 << bits)),
