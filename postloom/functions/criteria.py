@@ -15,8 +15,8 @@ def criteria_list_parse(c: Column) -> Column:
 
 
 def criteria_salary_units(c: Column) -> Column:
-    """Number in 万円 -> yen; blank or not a whole number -> null."""
-    return strip(c).try_cast("bigint") * 10000
+    """Number in 万円 -> yen; blank, not a whole number or beyond a long -> null."""
+    return F.try_multiply(strip(c).try_cast("bigint"), F.lit(10000).cast("bigint"))
 
 
 def criteria_tri_bool(c: Column) -> Column:

@@ -16,8 +16,8 @@ def f_board(jobs: DataFrame, board: str | None) -> DataFrame:
 
 
 def _like(c: Column, text: str) -> Column:
-    """Case-insensitive containment; % and _ in the text stay wildcards."""
-    return F.ilike(c, F.lit(f"%{text}%"))
+    """Case-insensitive containment; % and _ in the text stay wildcards, a backslash is itself."""
+    return F.ilike(c, F.lit("%" + text.replace("\\", "\\\\") + "%"))
 
 
 def f_location(jobs: DataFrame, text: str | None) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postloom.functions.text import fingerprint
+from postloom.operators.lifecycle import touched
 from postloom.session import written
 
 
@@ -176,10 +177,11 @@ def commit_failed(counts: DataFrame) -> DataFrame:
         "jobs_added", F.lit(0).cast("bigint"))
 
 
-def fp_backfill(jobs: DataFrame) -> DataFrame:
-    """Fill missing fingerprints; ``backfilled`` marks the rows that got one."""
+def fp_backfill(jobs: DataFrame, as_of=None) -> DataFrame:
+    """Fill missing fingerprints; ``backfilled`` marks the rows that got one, ``as_of`` stamps them."""
     missing = F.col("fingerprint").isNull()
     filled = F.when(missing, fingerprint(F.col("title"), F.col("company"), F.col("job_board")))
-    return jobs.withColumns({
+    after = jobs.withColumns({
         "backfilled": missing, "fingerprint": filled.otherwise(F.col("fingerprint")),
     })
+    return touched(after, "backfilled", as_of)

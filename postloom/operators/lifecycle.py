@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import secrets
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 STALE_DAYS = 7
 
@@ -19,10 +23,20 @@ def is_stale(last_seen_type, as_of, days: int = STALE_DAYS, board: str | None =
 def expire_stale(jobs: DataFrame, as_of, days: int = STALE_DAYS, board: str | None = None) -> DataFrame:
     """Deactivate postings not seen for ``days``; one never stamped stays.
 
-    ``expired`` marks the rows changed, its sum is the number of them.
+    ``expired`` marks the rows changed, its sum is the number of them; where
+    there is an ``updated_at`` these rows get ``as_of``.
     """
     stale = is_stale(jobs.schema["last_seen_at"].dataType, as_of, days, board)
-    return jobs.withColumn("expired", stale).withColumn("is_active", F.col("is_active") & ~F.col("expired"))
+    after = jobs.withColumn("expired", stale).withColumn("is_active", F.col("is_active") & ~F.col("expired"))
+    return touched(after, "expired", as_of)
+
+
+def touched(rows: DataFrame, changed: str, as_of) -> DataFrame:
+    """Stamp ``updated_at``, if there is one, of the rows marked by ``changed``."""
+    if as_of is None or "updated_at" not in rows.columns:
+        return rows
+    now = F.lit(as_of).cast(rows.schema["updated_at"].dataType)
+    return rows.withColumn("updated_at", F.when(F.col(changed), now).otherwise(F.col("updated_at")))
 
 
 def check_unique(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -75,9 +89,12 @@ def migrate_last_seen(jobs: DataFrame) -> DataFrame:
 
 
 def random_token() -> Column:
-    """43 url-safe characters from 32 random bytes."""
-    raw = F.unhex(F.concat(*[F.replace(F.uuid(), F.lit("-"), F.lit("")) for _ in range(2)]))
-    return F.translate(F.base64(raw), "+/=", "-_")
+    """43 url-safe characters from 32 bytes of the system's cryptographic source.
+
+    Every evaluation draws anew: write the table before it is read twice.
+    """
+    draw = F.pandas_udf(lambda rows: pd.Series([secrets.token_urlsafe(32) for _ in rows]), T.StringType())
+    return draw.asNondeterministic()(F.monotonically_increasing_id())
 
 
 def stable_token(key: Column, salt: str) -> Column:

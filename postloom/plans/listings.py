@@ -192,7 +192,7 @@ def _(v):
       CASE WHEN nullif(remote_preference, '') IS NOT NULL THEN remote_preference = 'true' END AS remote_preference
     FROM (SELECT *, list_filter(list_transform(string_split(coalesce(keywords, ''), ','), lambda x: trim(x)), lambda x: x <> '') AS k,
             list_filter(list_transform(string_split(coalesce(locations, ''), ','), lambda x: trim(x)), lambda x: x <> '') AS l
-          FROM v_forms WHERE remote_preference IS NOT NULL)
+          FROM v_forms)
     QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY updated_at DESC, id DESC) = 1)
   SELECT coalesce(c.user_id, f.user_id) AS user_id,
     array_to_string(CASE WHEN f.user_id IS NOT NULL THEN f.keywords ELSE c.keywords END, '|') AS keywords,
@@ -203,9 +203,7 @@ def _(v):
     CASE WHEN f.user_id IS NOT NULL THEN TIMESTAMP '2002-01-01' ELSE c.updated_at END AS updated_at
   FROM v_latest c FULL JOIN f ON f.user_id = c.user_id""")
 def _(v):
-    # users who sent no complete form keep their criteria
-    sent = v.v_forms.where("remote_preference IS NOT NULL")
-    after = users.criteria_upsert(v.v_criteria, sent, "2002-01-01 00:00:00")
+    after = users.criteria_upsert(v.v_criteria, v.v_forms, "2002-01-01 00:00:00")
     return after.withColumns({n: F.array_join(n, "|") for n in ("keywords", "locations")})
 
 

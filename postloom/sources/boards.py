@@ -304,8 +304,11 @@ def union_sources(parts: list[DataFrame]) -> DataFrame:
 
 
 def extract_all(pages: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """Records of all named sources; ``pages`` has html and a ``source`` column."""
-    with_nodes = dom.with_nodes(pages)
+    """Records of all named sources; ``pages`` has html and a ``source`` column.
+
+    Pages are filtered by source before they are parsed, as no filter passes
+    the parser: each source parses its own pages only.
+    """
     return union_sources([
-        EXTRACTORS[name](with_nodes.where(F.col("source") == name)) for name in names or EXTRACTORS
+        EXTRACTORS[name](dom.with_nodes(pages.where(F.col("source") == name))) for name in names or EXTRACTORS
     ])

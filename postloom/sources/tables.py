@@ -116,20 +116,20 @@ def seed_rows(spark: SparkSession, as_of: str) -> dict[str, DataFrame]:
 
     lit = F.lit
     return {
-        "users": table("users", id=lit(1), name=lit("Test User"), email=lit("test@example.com"),
+        "users": table("users", id=lit(1), name=lit("Aoi Example"), email=lit("aoi@example.org"),
                        access_token=lit("sample-token"), created_at=at),
         "criteria": table(
             "criteria", id=lit(1), user_id=lit(1),
-            keywords=F.array(*map(lit, ["python", "backend", "senior engineer", "remote"])),
-            locations=F.array(*map(lit, ["Tokyo", "Remote", "San Francisco"])),
-            min_salary=lit(100000), max_salary=lit(200000), remote_preference=lit(True),
+            keywords=F.array(*map(lit, ["spark", "data pipeline", "sql"])),
+            locations=F.array(*map(lit, ["Osaka", "Sapporo"])),
+            min_salary=lit(5_500_000), max_salary=lit(8_000_000), remote_preference=lit(False),
             created_at=at, updated_at=at),
         "jobs": table(
-            "jobs", id=lit(1), title=lit("Senior Python Developer"), company=lit("Tech Corp"),
-            description=lit("Looking for an experienced Python developer..."),
-            salary_text=lit("$150,000 - $180,000"), location=lit("Remote"),
-            url=lit("https://example.com/jobs/12345"), job_board=lit("indeed"),
+            "jobs", id=lit(1), title=lit("Data Pipeline Engineer"), company=lit("Umbrella Weather KK"),
+            description=lit("Builds Spark jobs for rain forecasts."),
+            salary_text=lit("年収600万円～750万円"), location=lit("Osaka"),
+            url=lit("https://jobs.example.org/rain/7"), job_board=lit("green"),
             scraped_at=at, updated_at=at, is_active=lit(True)),
         "matched_jobs": table("matched_jobs", id=lit(1), user_id=lit(1), job_id=lit(1),
-                              match_score=lit(0.85), matched_at=at),
+                              match_score=lit(0.6), matched_at=at),
     }

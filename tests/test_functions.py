@@ -89,3 +89,52 @@ def test_urls(spark):
     assert one(spark, "/x/j_jid__12/?a", lambda c: urls.job_id(c, "doda")) == "12"
     assert one(spark, "/x", lambda c: urls.job_id(c, "green")) is None
     assert one(spark, "/x?a?b", urls.strip_query) == "/x"
+
+
+def test_amounts_beyond_a_long_do_not_end_the_job(spark):
+    from postloom.functions import criteria, salary
+
+    big = "年収9999999999999999万円"
+    rows = spark.createDataFrame([(big,), (big + "～9999999999999999万円",), ("年収500万円",)], "t string")
+    got = rows.select(salary.salary_doda(F.col("t")).alias("d"), salary.salary_range_green(F.col("t")).alias("g")).collect()
+    assert [r.d.min for r in got] == [None, None, 5_000_000]
+    assert [r.g.min for r in got] == [None, None, 5_000_000]
+    forms = spark.createDataFrame([("9999999999999999",), (" 500 ",)], "t string")
+    assert [r[0] for r in forms.select(criteria.criteria_salary_units(F.col("t"))).collect()] == [None, 5_000_000]
+
+
+def test_backslash_in_the_search_box(spark):
+    from postloom.operators import browse
+
+    jobs = spark.createDataFrame([("C:\\net dev", "a", "x"), ("c", "b", "C:\\NET")], "title string, company string, location string")
+    assert browse.f_search(jobs, "C:\\net").count() == 1
+    assert browse.f_location(jobs, "c:\\n").count() == 1
+
+
+def test_tokens_have_no_fixed_characters(spark):
+    from postloom.operators.lifecycle import random_token
+
+    tokens = [r[0] for r in spark.range(300).select(random_token()).collect()]
+    assert len(set(tokens)) == 300 and {len(t) for t in tokens} == {43}
+    assert all(len({t[i] for t in tokens}) > 10 for i in range(42))
+
+
+def test_changed_rows_are_stamped(spark):
+    from postloom.operators.ingest import fp_backfill
+    from postloom.operators.lifecycle import expire_stale
+
+    rows = spark.sql("""SELECT id, 'a' AS title, 'b' AS company, 'c' AS job_board, if(id = 1, 'x', null) AS fingerprint, true AS is_active,
+        timestamp_ntz'2024-01-01' + make_dt_interval(cast(id * 20 as int)) AS last_seen_at, timestamp_ntz'2024-01-01' AS updated_at FROM range(3)""")
+    at = "2024-02-01 00:00:00"
+    assert [str(r.updated_at) == at for r in expire_stale(rows, at).orderBy("id").collect()] == [True, True, False]
+    assert [str(r.updated_at) == at for r in fp_backfill(rows, at).orderBy("id").collect()] == [True, False, True]
+
+
+def test_sources_are_filtered_before_their_pages_are_parsed(spark):
+    from postloom.sources import boards
+
+    pages = spark.createDataFrame([(1, "<p>x", "doda")], "page_id long, html string, source string")
+    plan = boards.extract_all(pages, ["doda", "green"])._jdf.queryExecution().optimizedPlan().toString()
+    parts = plan.split("MapInArrow")[1:]
+    assert len(parts) == 2 and all("Filter" in p or "LocalRelation" in p for p in parts)
+    assert not any("Filter (isnotnull(source" in p for p in plan.split("MapInArrow")[:1])
