@@ -41,16 +41,37 @@ def job_id(url: Column, board: str) -> Column:
     return F.nullif(F.regexp_extract(url, JOB_ID_PATTERN[board], 1), F.lit(""))
 
 
+# a "." or ".." segment anywhere in the path
+DOT_SEGMENT = r"^([^?#]*/)?\.\.?([/?#]|\z)"
+
+
+def _without_dots(path: Column) -> Column:
+    """Path after its first slash, "." and ".." segments resolved; ".." ends at the root."""
+    segments = F.split(path, "/")
+    kept = F.aggregate(
+        segments, F.array().cast("array<string>"),
+        lambda done, s: F.when(s == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))))
+        .when(s == ".", done).otherwise(F.concat(done, F.array(s))),
+    )
+    to_folder = F.element_at(segments, -1).isin(".", "..")
+    return F.array_join(F.when(to_folder, F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/")
+
+
 def url_absolute(href: Column, base: str) -> Column:
     """``href`` resolved against a board's root address.
 
     Covers absolute, scheme-relative, rooted, query-only and plain relative
-    links; dot segments are kept as they are, boards do not use them.
+    links.  Dot segments are resolved and repeated slashes of relative paths
+    become one; absolute and scheme-relative links stay as they are.
     """
     root = F.lit(base)
+    path = F.regexp_extract(href, "^/?([^?#]*)", 1)
+    path = F.when(F.startswith(href, F.lit("/")), path).otherwise(F.regexp_replace(path, "/+", "/"))
+    uneven = href.rlike(DOT_SEGMENT) | href.rlike("^[^/?#][^?#]*//")
     return (
         F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href)
         .when(F.startswith(href, F.lit("//")), F.concat(F.lit(base.split("//")[0]), href))
+        .when(uneven, F.concat(root, F.lit("/"), _without_dots(path), F.regexp_extract(href, "(?s)^[^?#]*(.*)", 1)))
         .when(href.rlike(r"^[/?#]") | (href == ""), F.concat(root, href))
         .otherwise(F.concat(root, F.lit("/"), href))
     )

@@ -103,21 +103,22 @@ def classify(records: DataFrame, jobs: DataFrame) -> DataFrame:
         "url_id", "fp_id", "kept_url", "kept_seq")
 
 
-def numbered(rows: DataFrame, order: str, start: Column | int, out: str = "id") -> DataFrame:
+def numbered(rows: DataFrame, order: str | list[str], start: Column | int, out: str = "id") -> DataFrame:
     """Consecutive numbers from ``start`` in ``order``, without one task seeing all rows.
 
     Rows are range-partitioned and written, so the partitions stay fixed; each
     partition counts on from the sizes of those before it.
     """
     spark = rows.sparkSession
+    order = [order] if isinstance(order, str) else order
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = written(
-        rows.repartitionByRange(parts, order).withColumn("_part", F.spark_partition_id()), "ranged")
+        rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ranged")
     sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     # one row per range partition
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(
         Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    place = F.row_number().over(Window.partitionBy("_part").orderBy(order))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
     first = F.lit(start) if isinstance(start, int) else start
     return (
         ranged.withColumn("_place", place).join(F.broadcast(before), "_part")

@@ -9,6 +9,7 @@ from postloom.functions.criteria import criteria_list_parse, criteria_salary_uni
 from postloom.operators.ingest import numbered
 from postloom.operators.lifecycle import random_token, stable_token
 from postloom.operators.scoring import latest_criteria
+from postloom.session import written
 
 DEFAULT_BASE_URL = "http://localhost:8000"
 
@@ -35,32 +36,37 @@ def parse_form(forms: DataFrame) -> DataFrame:
 
 
 def criteria_upsert(criteria: DataFrame, forms: DataFrame, as_of) -> DataFrame:
-    """The latest criteria of every user after the newest form of each is applied.
+    """The criteria table after the newest form of each user is applied.
 
-    A form overwrites all five fields, with null where it was left blank.
+    A form overwrites all five fields of the user's latest row, with null where
+    it was left blank; older rows stay as they are.  A user without a row gets
+    one, numbered on in order of user ids and stamped ``as_of``.
     """
-    stored = latest_criteria(criteria)
     fields = ["keywords", "locations", "min_salary", "max_salary", "remote_preference"]
-    newest = parse_form(latest_criteria(forms)).select(
-        "user_id", F.struct(*fields).alias("_new"))
-    both = stored.join(newest, "user_id", "full_outer")
+    newest = written(parse_form(latest_criteria(forms)).select("user_id", F.struct(*fields).alias("_new")), "forms")
+    hits = latest_criteria(criteria).select("id", "user_id").join(newest, "user_id").select("id", "_new")
     changed = F.col("_new").isNotNull()
-    at = F.lit(as_of).cast(criteria.schema["updated_at"].dataType)
-    return both.select(
-        "user_id",
-        *[F.when(changed, F.col(f"_new.{f}")).otherwise(F.col(f)).alias(f) for f in fields],
-        F.when(changed, at).otherwise(F.col("updated_at")).alias("updated_at"),
-    )
+    at = {n: F.lit(as_of).cast(criteria.schema[n].dataType) for n in ("created_at", "updated_at")}
+    stored = criteria.join(hits, "id", "left").withColumns({
+        **{f: F.when(changed, F.col(f"_new.{f}")).otherwise(F.col(f)) for f in fields},
+        "updated_at": F.when(changed, at["updated_at"]).otherwise(F.col("updated_at")),
+    })
+    top = criteria.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"]
+    first = numbered(newest.join(criteria.select("user_id"), "user_id", "left_anti"), "user_id", int(top) + 1)
+    added = first.select("id", "user_id", "_new.*").withColumns(at)
+    return stored.select(*criteria.columns).unionByName(added.select(*criteria.columns))
 
 
 def user_add(users: DataFrame, wanted: DataFrame, base_url: str = DEFAULT_BASE_URL,
-             salt: str | None = None) -> DataFrame:
+             salt: str | None = None, order: str | None = None) -> DataFrame:
     """New users among ``wanted`` (name, email): ids, tokens and dashboard addresses.
 
-    An email already stored is not added again; of several equal emails in one
-    batch the first name counts.  An empty criteria row goes with every user.
+    An email already stored is not added again.  Of several equal emails in one
+    batch the name smallest by the column ``order`` counts, without one the
+    alphabetically smallest.  An empty criteria row goes with every user.
     """
-    fresh = wanted.groupBy("email").agg(F.min("name").alias("name")).join(
+    name = F.min("name") if order is None else F.min_by("name", order)
+    fresh = wanted.groupBy("email").agg(name.alias("name")).join(
         users.select("email"), "email", "left_anti")
     top = users.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"]
     rows = numbered(fresh, "email", int(top) + 1)

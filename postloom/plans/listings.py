@@ -194,16 +194,20 @@ def _(v):
             list_filter(list_transform(string_split(coalesce(locations, ''), ','), lambda x: trim(x)), lambda x: x <> '') AS l
           FROM v_forms)
     QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY updated_at DESC, id DESC) = 1)
-  SELECT coalesce(c.user_id, f.user_id) AS user_id,
+  SELECT c.id, c.user_id,
     array_to_string(CASE WHEN f.user_id IS NOT NULL THEN f.keywords ELSE c.keywords END, '|') AS keywords,
     array_to_string(CASE WHEN f.user_id IS NOT NULL THEN f.locations ELSE c.locations END, '|') AS locations,
     CASE WHEN f.user_id IS NOT NULL THEN f.min_salary ELSE c.min_salary END AS min_salary,
     CASE WHEN f.user_id IS NOT NULL THEN f.max_salary ELSE c.max_salary END AS max_salary,
-    CASE WHEN f.user_id IS NOT NULL THEN f.remote_preference ELSE c.remote_preference END AS remote_preference,
+    CASE WHEN f.user_id IS NOT NULL THEN f.remote_preference ELSE c.remote_preference END AS remote_preference, c.updated_at AS created_at,
     CASE WHEN f.user_id IS NOT NULL THEN TIMESTAMP '2002-01-01' ELSE c.updated_at END AS updated_at
-  FROM v_latest c FULL JOIN f ON f.user_id = c.user_id""")
+  FROM v_criteria c LEFT JOIN v_latest n ON n.id = c.id LEFT JOIN f ON f.user_id = n.user_id
+  UNION ALL
+  SELECT (SELECT max(id) FROM v_criteria) + row_number() OVER (ORDER BY user_id), user_id, array_to_string(keywords, '|'),
+    array_to_string(locations, '|'), min_salary, max_salary, remote_preference, TIMESTAMP '2002-01-01', TIMESTAMP '2002-01-01'
+  FROM f WHERE user_id NOT IN (SELECT user_id FROM v_criteria)""")
 def _(v):
-    after = users.criteria_upsert(v.v_criteria, v.v_forms, "2002-01-01 00:00:00")
+    after = users.criteria_upsert(v.v_criteria.withColumn("created_at", c("updated_at")), v.v_forms, "2002-01-01 00:00:00")
     return after.withColumns({n: F.array_join(n, "|") for n in ("keywords", "locations")})
 
 

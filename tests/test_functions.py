@@ -82,7 +82,9 @@ def test_urls(spark):
     hrefs = ["/a", "b", "?p=1", "https://x.y/z", "//cdn/z", ""]
     assert column(spark, hrefs, lambda c: urls.url_absolute(c, base)) == [
         base + "/a", base + "/b", base + "?p=1", "https://x.y/z", "https://cdn/z", base]
-    from urllib.parse import quote, quote_plus
+    from urllib.parse import quote, quote_plus, urljoin
+    uneven = ["./a", "../a/b", "a/./b/../c?x=../y", "/a/b/..", "/../x", "a//b/", ".", "..", "/a/./?q", "/a//b", "x..y/.z", "a?b//c", "a/..#f"]
+    assert column(spark, uneven, lambda c: urls.url_absolute(c, base)) == [urljoin(base, h) for h in uneven]
     texts = ["a b", "東京/大阪", "x~y*z-_.", "a+b&c=d?"]
     assert column(spark, texts, urls.form_encode) == [quote_plus(t) for t in texts]
     assert column(spark, texts, urls.path_encode) == [quote(t) for t in texts]

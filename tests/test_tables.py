@@ -132,3 +132,26 @@ def test_size_check_is_bounded(spark):
     rows = spark.createDataFrame([("a" * 10,)] * 5, "x string")
     width = F.length("x")
     assert within(rows, 5, 50, width) and not within(rows, 4, 50, width) and not within(rows, 5, 49, width)
+
+
+def test_criteria_upsert_gives_the_table(spark):
+    old = dt.datetime(2020, 1, 1)
+    rows = [(1, 7, ["a"], None, 1, 2, True, old, old), (2, 7, ["b"], ["x"], 3, 4, None, old, old), (3, 8, ["c"], None, 5, 6, False, old, old)]
+    criteria = spark.createDataFrame(rows, schemas.CRITERIA)
+    forms = spark.createDataFrame(
+        [(1, 7, old, " q ,", "", "10", "zz", "false"), (2, 9, old, None, None, None, None, None)],
+        "id long, user_id long, updated_at timestamp_ntz, keywords string, locations string, min_salary string, max_salary string, remote_preference string")
+    after = users.criteria_upsert(criteria, forms, "2024-01-01")
+    assert after.columns == criteria.columns
+    new = dt.datetime(2024, 1, 1)
+    assert sorted(tuple(r) for r in after.collect()) == [
+        rows[0], (2, 7, ["q"], None, 100000, None, False, old, new), rows[2], (4, 9, None, None, None, None, None, new, new)]
+    again = users.criteria_upsert(after, forms, "2025-01-01").collect()
+    assert sorted(r["id"] for r in again) == [1, 2, 3, 4]
+
+
+def test_first_name_by_order(spark):
+    known = spark.createDataFrame([], "id long, email string")
+    wanted = spark.createDataFrame([("b", "e@x", 1), ("a", "e@x", 2)], "name string, email string, at int")
+    assert users.user_add(known, wanted, salt="s", order="at").first()["name"] == "b"
+    assert users.user_add(known, wanted, salt="s").first()["name"] == "a"
