@@ -217,21 +217,37 @@ def _project_links(nodes: Column, holder: Callable, title: Callable) -> Column:
     ))
 
 
-def _wantedly_records(rows: DataFrame, keys: list[str], title: Column, url: Column) -> DataFrame:
+def _wantedly_records(rows: DataFrame, keys: list[str]) -> DataFrame:
     null_pay = F.lit(None).cast("bigint")
-    rows = rows.where(F.length("card.title") >= WANTEDLY_MIN_TITLE)
     return _records(
-        rows, keys, "wantedly",
-        job_id=job_id(F.col("card.href"), "wantedly"), title=F.left(title, F.lit(WANTEDLY_MAX_TITLE)),
-        company=F.col("card.company"), location=F.lit(""), salary_text=F.lit(None).cast("string"),
-        salary_annual_min=null_pay, salary_annual_max=null_pay, url=url, description=F.lit(""),
+        rows, keys, "wantedly", salary_text=F.lit(None).cast("string"),
+        salary_annual_min=null_pay, salary_annual_max=null_pay,
+        **{f: F.col(f"card.{f}") for f in ("job_id", "title", "company", "location", "url", "description")},
     )
 
 
-def cards_wantedly_html(pages: DataFrame) -> DataFrame:
-    """Records from project links of a static page."""
-    nodes = F.col("nodes")
+def _wantedly_card(job_id: Column, title: Column, company: Column, location: Column, url: Column, text: Column) -> Column:
+    return F.struct(
+        job_id.alias("job_id"), title.alias("title"), company.alias("company"), location.alias("location"),
+        url.alias("url"), text.alias("description"),
+    )
+
+
+def _link_cards(links: Column, title: Callable, url: Callable) -> Column:
+    """Cards of project links whose own title is long enough."""
+    long_enough = F.filter(links, lambda k: F.length(k["title"]) >= WANTEDLY_MIN_TITLE)
+    return F.transform(long_enough, lambda k: _wantedly_card(
+        job_id(k["href"], "wantedly"), F.left(title(k["title"]), F.lit(WANTEDLY_MAX_TITLE)), k["company"],
+        F.lit(""), url(k["href"]), F.lit("")))
+
+
+def _state_cards(state: Column) -> Column:
+    return F.transform(state_projects(state), lambda p: _wantedly_card(
+        p["id"], p["title"], p["company"], p["location"],
+        F.concat(F.lit(BASE_URL["wantedly"] + "/projects/"), p["id"]), p["description"]))
+
 
+def _html_cards(nodes: Column) -> Column:
     def holder(link):
         above = F.reverse(F.transform(link["path"], lambda p: F.get(nodes, p)))
         return F.coalesce(
@@ -239,9 +255,13 @@ def cards_wantedly_html(pages: DataFrame) -> DataFrame:
             dom.first_node(above, lambda n: n["tag"] == "article"),
         )
 
-    rows = _cards(pages, _project_links(nodes, holder, dom.inner_text))
-    url = _absolute(strip_query(F.col("card.href")), "wantedly")
-    return _wantedly_records(rows, _page_columns(pages), F.col("card.title"), url)
+    links = _project_links(nodes, holder, dom.inner_text)
+    return _link_cards(links, lambda t: t, lambda href: _absolute(strip_query(href), "wantedly"))
+
+
+def cards_wantedly_html(pages: DataFrame) -> DataFrame:
+    """Records from project links of a static page."""
+    return _wantedly_records(_cards(pages, _html_cards(F.col("nodes"))), _page_columns(pages))
 
 
 def cards_wantedly_dom(pages: DataFrame) -> DataFrame:
@@ -255,31 +275,25 @@ def cards_wantedly_dom(pages: DataFrame) -> DataFrame:
 
         return dom.first_node(F.transform(link["path"], lambda p: F.get(nodes, p)), boxed)
 
-    rows = _cards(pages, _project_links(nodes, holder, lambda b: tx.strip(tx.squeeze(dom.raw_text(b)))))
-    title = tx.strip(F.regexp_replace(F.col("card.title"), ENTRY_COUNT, ""))
-    url = F.concat(F.lit(BASE_URL["wantedly"] + "/projects/"), job_id(F.col("card.href"), "wantedly"))
-    return _wantedly_records(rows, _page_columns(pages), title, url)
+    links = _project_links(nodes, holder, lambda b: tx.strip(tx.squeeze(dom.raw_text(b))))
+    cards = _link_cards(
+        links, lambda t: tx.strip(F.regexp_replace(t, ENTRY_COUNT, "")),
+        lambda href: F.concat(F.lit(BASE_URL["wantedly"] + "/projects/"), job_id(href, "wantedly")))
+    return _wantedly_records(_cards(pages, cards), _page_columns(pages))
 
 
 def cards_wantedly_state(pages: DataFrame) -> DataFrame:
     """Records from the state object embedded in a page."""
-    keys = _page_columns(pages)
-    rows = state_projects(pages.withColumn("state", state_json(F.col("nodes"))).drop("nodes"))
-    null_pay = F.lit(None).cast("bigint")
-    return _records(
-        rows, keys, "wantedly",
-        job_id=F.col("id"), salary_text=F.lit(None).cast("string"),
-        salary_annual_min=null_pay, salary_annual_max=null_pay,
-        url=F.concat(F.lit(BASE_URL["wantedly"] + "/projects/"), F.col("id")),
-    )
+    cards = tx.bind(state_json(F.col("nodes")), _state_cards)
+    return _wantedly_records(_cards(pages, cards), _page_columns(pages))
 
 
 def cards_wantedly(pages: DataFrame) -> DataFrame:
-    """State records where a page has a state, link records elsewhere."""
-    has_state = F.coalesce(F.size(state_json(F.col("nodes"))["entries"]), F.lit(0)) > 0
-    return cards_wantedly_state(pages.where(has_state)).unionByName(
-        cards_wantedly_html(pages.where(~has_state))
-    )
+    """State records where a page has a state, link records elsewhere; pages are parsed once."""
+    nodes = F.col("nodes")
+    cards = tx.bind(state_json(nodes), lambda s: F.when(
+        F.coalesce(F.size(s["entries"]), F.lit(0)) > 0, _state_cards(s)).otherwise(_html_cards(nodes)))
+    return _wantedly_records(_cards(pages, cards), _page_columns(pages))
 
 
 # name -> (pages with nodes -> records); further boards register here
