@@ -58,9 +58,8 @@ def label_value(nodes: Column, inside: Column, label: str) -> Column:
     span = dom.first_node(inside, lambda n: (n["tag"] == "span") & F.contains(n["only"], F.lit(label)))
 
     def around(found: Column) -> Column:
-        depth = F.size(found["path"])
-        holder = F.get(nodes, F.get(found["path"], depth - 2))
-        text = F.when(depth >= 2, dom.inner_text(dom.subtree(nodes, holder))).otherwise(dom.inner_text(nodes))
+        holder = F.get(nodes, F.get(nodes, found["parent"])["parent"])
+        text = F.when(holder.isNotNull(), dom.inner_text(dom.subtree(nodes, holder))).otherwise(dom.inner_text(nodes))
         return F.nullif(tx.strip(F.replace(text, F.lit(label), F.lit(""))), F.lit(""))
 
     return tx.bind(span, lambda s: F.when(s.isNotNull(), around(s)))
@@ -119,11 +118,9 @@ def first_per_key(nodes: Column, key: Callable) -> Column:
 def green_holders(nodes: Column) -> Column:
     """Per distinct job link, the nearest ancestor below body with enough text."""
     def holder(link):
-        above = F.filter(link["path"], lambda p: ~F.get(nodes, p)["tag"].isin("body", "html"))
+        above = F.filter(dom.ancestors(nodes, link), lambda n: ~n["tag"].isin("body", "html"))
         near = F.slice(F.reverse(above), 1, GREEN_CLIMB)
-        return F.get(F.filter(
-            F.transform(near, lambda p: F.get(nodes, p)), lambda n: n["text_len"] > GREEN_MIN_TEXT
-        ), 0)
+        return dom.first_node(near, lambda n: n["text_len"] > GREEN_MIN_TEXT)
 
     links = tx.bind(_job_links(nodes, "green"), lambda x: first_per_key(x, lambda n: dom.attr(n, "href")))
     return F.filter(F.transform(links, holder), lambda n: n.isNotNull())
@@ -249,11 +246,10 @@ def _state_cards(state: Column) -> Column:
 
 def _html_cards(nodes: Column) -> Column:
     def holder(link):
-        above = F.reverse(F.transform(link["path"], lambda p: F.get(nodes, p)))
-        return F.coalesce(
+        return tx.bind(F.reverse(dom.ancestors(nodes, link)), lambda above: F.coalesce(
             dom.first_node(above, lambda n: n["tag"] == "div"),
             dom.first_node(above, lambda n: n["tag"] == "article"),
-        )
+        ))
 
     links = _project_links(nodes, holder, dom.inner_text)
     return _link_cards(links, lambda t: t, lambda href: _absolute(strip_query(href), "wantedly"))
@@ -273,7 +269,7 @@ def cards_wantedly_dom(pages: DataFrame) -> DataFrame:
             css = dom.attr(n, "class")
             return (n["tag"] == "div") & (F.contains(css, F.lit("project")) | F.contains(css, F.lit("card")))
 
-        return dom.first_node(F.transform(link["path"], lambda p: F.get(nodes, p)), boxed)
+        return dom.first_node(dom.ancestors(nodes, link), boxed)
 
     links = _project_links(nodes, holder, lambda b: tx.strip(tx.squeeze(dom.raw_text(b))))
     cards = _link_cards(

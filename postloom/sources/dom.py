@@ -25,12 +25,12 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 NODE_TYPE = (
     "array<struct<nid:int,size:int,tag:string,attrs:map<string,string>,"
-    "text:string,only:string,text_len:int,path:array<int>>>"
+    "text:string,only:string,text_len:int,parent:int>>"
 )
 _ARROW_NODE = pa.struct([
     ("nid", pa.int32()), ("size", pa.int32()), ("tag", pa.string()),
     ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()),
-    ("only", pa.string()), ("text_len", pa.int32()), ("path", pa.list_(pa.int32())),
+    ("only", pa.string()), ("text_len", pa.int32()), ("parent", pa.int32()),
 ])
 _ROWS_PER_SLICE = 64
 
@@ -56,14 +56,14 @@ class _Flattener(HTMLParser):
         self.tags: list[str] = []
         self.attrs: list[list[tuple[str, str]]] = []
         self.texts: list[str | None] = []
-        self.paths: list[tuple[int, ...]] = []
-        self.open: tuple[int, ...] = ()
+        self.parents: list[int] = []
+        self.open: list[int] = []
 
     def _add(self, tag: str, attrs: list, text: str | None) -> int:
         self.tags.append(tag)
         self.attrs.append(attrs)
         self.texts.append(text)
-        self.paths.append(self.open)
+        self.parents.append(self.open[-1] if self.open else -1)
         return len(self.tags) - 1
 
     def _close_implied(self, tag: str) -> None:
@@ -73,7 +73,7 @@ class _Flattener(HTMLParser):
         for depth in range(len(self.open) - 1, -1, -1):
             name = self.tags[self.open[depth]]
             if name in ends:
-                self.open = self.open[:depth]
+                del self.open[depth:]
                 if tag not in _SIBLING:
                     return
             elif name in _SCOPE:
@@ -86,23 +86,24 @@ class _Flattener(HTMLParser):
             seen.setdefault(key, value or "")
         nid = self._add(tag, list(seen.items()), None)
         if tag not in _VOID:
-            self.open += (nid,)
+            self.open.append(nid)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in _VOID:
-            self.open = self.open[:-1]
+            self.open.pop()
 
     def handle_endtag(self, tag):
         for depth in range(len(self.open) - 1, -1, -1):
             if self.tags[self.open[depth]] == tag:
-                self.open = self.open[:depth]
+                del self.open[depth:]
                 return
 
     def handle_data(self, data):
         raw = bool(self.open) and self.tags[self.open[-1]] in _RAW
         kind = RAW_TEXT if raw else TEXT
-        if self.tags and self.tags[-1] == kind and self.paths[-1] == self.open:
+        holder = self.open[-1] if self.open else -1
+        if self.tags and self.tags[-1] == kind and self.parents[-1] == holder:
             self.texts[-1] += data  # the parser may hand one text over in parts
         else:
             self._add(kind, [], data)
@@ -119,9 +120,9 @@ class _Flattener(HTMLParser):
             len(text.strip()) if tag == TEXT else 0 for tag, text in zip(self.tags, self.texts, strict=True)
         ]
         for nid in range(count - 1, -1, -1):
-            if not self.paths[nid]:
+            parent = self.parents[nid]
+            if parent < 0:
                 continue
-            parent = self.paths[nid][-1]
             sizes[parent] += sizes[nid]
             lengths[parent] += lengths[nid]
             children[parent] += 1
@@ -146,7 +147,7 @@ def _node_lists(pages: list[_Flattener]) -> pa.Array:
     """One list of node structs per page, put together column by column."""
     flat = lambda rows: list(chain.from_iterable(rows))
     totals = [p.totals() for p in pages]
-    attrs, paths = flat(p.attrs for p in pages), flat(p.paths for p in pages)
+    attrs = flat(p.attrs for p in pages)
     pairs = flat(attrs)
     columns = [
         pa.array(flat(range(len(p.tags)) for p in pages), pa.int32()),
@@ -159,7 +160,7 @@ def _node_lists(pages: list[_Flattener]) -> pa.Array:
         pa.array(flat(p.texts for p in pages), pa.string()),
         pa.array(flat(t[1] for t in totals), pa.string()),
         pa.array(flat(t[2] for t in totals), pa.int32()),
-        pa.ListArray.from_arrays(_offsets(map(len, paths)), pa.array(flat(paths), pa.int32())),
+        pa.array(flat(p.parents for p in pages), pa.int32()),
     ]
     nodes = pa.StructArray.from_arrays(columns, fields=list(_ARROW_NODE))
     return pa.ListArray.from_arrays(_offsets(len(p.tags) for p in pages), nodes)
@@ -211,6 +212,12 @@ def first_node(nodes: Column, rule) -> Column:
     return F.get(F.filter(nodes, rule), 0)
 
 
+def ancestors(nodes: Column, node: Column) -> Column:
+    """Elements of a whole page that hold ``node``, from the root down."""
+    before = F.slice(nodes, F.lit(1), node["nid"])
+    return F.filter(before, lambda n: n["nid"] + n["size"] > node["nid"])
+
+
 def text_pieces(nodes: Column) -> Column:
     """Trimmed non-empty visible texts of a slice."""
     texts = F.transform(F.filter(nodes, lambda n: n["tag"] == TEXT), lambda n: strip(n["text"]))

@@ -132,17 +132,24 @@ def dom_outline(pages: DataFrame, max_depth: int = OUTLINE_DEPTH) -> DataFrame:
     body = F.array_position(F.transform(nodes, lambda n: n["tag"]), "body").cast("int") - 1
 
     def below_body(page):
-        """(node, ancestors between body and it) of structural elements near enough to body."""
-        held = F.filter(nodes, lambda n: F.get(page["structural"], n["nid"]) & F.array_contains(n["path"], page["body"]))
-        chained = F.transform(held, lambda n: F.struct(n.alias("n"), F.slice(
-            n["path"], F.array_position(n["path"], page["body"]).cast("int") + 1, F.size(n["path"])).alias("above")))
-        return F.filter(chained, lambda x: (F.size(x["above"]) < max_depth) & F.forall(
-            x["above"], lambda p: F.get(page["structural"], p)))
+        """(node, number of elements between body and it) of structural elements near enough to body.
+
+        Each climbs from parent to parent while it meets structural elements, max_depth - 1 steps at most.
+        """
+        def climb(node):
+            start = F.struct(node["parent"].alias("at"), F.lit(0).alias("steps"))
+            go = lambda s: (s["at"] != page["body"]) & F.coalesce(F.get(page["structural"], s["at"]), F.lit(False))
+            return F.aggregate(F.sequence(F.lit(2), F.lit(max(max_depth, 2))), start, lambda s, _: F.when(go(s), F.struct(
+                F.get(nodes, s["at"])["parent"].alias("at"), (s["steps"] + 1).alias("steps"))).otherwise(s))
+
+        held = F.filter(nodes, lambda n: F.get(page["structural"], n["nid"]) & (n["nid"] > page["body"]))
+        chained = F.transform(held, lambda n: F.struct(n.alias("n"), climb(n).alias("top")))
+        return F.filter(chained, lambda x: (x["top"]["at"] == page["body"]) & (x["top"]["steps"] < max_depth))
 
     # both page-wide values are computed once per page, not once per node
     found = bind(F.struct(structural.alias("structural"), body.alias("body")), below_body)
     shown = F.transform(found, lambda x: F.struct(
-        x["n"]["nid"].alias("nid"), (F.size(x["above"]) + 1).alias("depth"), x["n"]["tag"].alias("tag"),
+        x["n"]["nid"].alias("nid"), (x["top"]["steps"] + 1).alias("depth"), x["n"]["tag"].alias("tag"),
         F.left(dom.attr(x["n"], "id"), F.lit(OUTLINE_ID)).alias("id"),
         F.left(dom.attr(x["n"], "class"), F.lit(OUTLINE_CLASS)).alias("class"),
     ))

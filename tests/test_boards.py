@@ -106,6 +106,12 @@ def test_broken_and_empty_pages(spark):
     assert {r["page_id"]: r["n"] for r in got} == {0: 0, 1: 0, 2: 4, 3: 2}
 
 
+def test_deep_pages_stay_small(spark):
+    deep = "<div>" * 4000 + "x"
+    row = pages(spark, deep).select(F.size("nodes").alias("n"), F.get("nodes", 4000)["parent"].alias("p"), F.get("nodes", 0)["size"].alias("s")).first()
+    assert tuple(row) == (4001, 3999, 4001)
+
+
 def test_paging(spark):
     htmls = ['<a href="?p=2"><b>次へ</b></a>', '<a href="/l?page=10">10</a>', "<a>次</a>", '<a href="/x">NEXT page</a>', "<p>次</p>"]
     p = pages(spark, *htmls)
