@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 # Settings a cluster job should start with.  Partition sizes follow the data
 # through AQE; page batches stay small because one page may hold megabytes.
+# State of streams, one row per fingerprint ever seen, is kept off the heap.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -17,6 +18,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
     "spark.sql.files.maxPartitionBytes": str(128 << 20),
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 

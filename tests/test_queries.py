@@ -74,5 +74,10 @@ def test_no_products_in_plans(spark, name):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+def test_pages_of_a_board_are_parsed_once(spark):
+    plan = QUERIES["cards_wantedly"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow ") == 1
+
+
 def test_every_query_has_sql_or_is_listed():
     assert set(QUERIES) - set(ORACLES) == {"dom_outline_pages"}
