@@ -27,7 +27,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postloom.llm.common import SPACES, attach, lower_ascii, or_empty, short, tagged
@@ -61,16 +61,24 @@ def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
     return int(np.packbits(bits, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = 42) -> DataFrame:
-    """One row per row of ``docs``: id, fp (the 64 bits as a long)."""
+def fingerprints(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = 42,
+    marks: dict[str, Column] | None = None,
+) -> DataFrame:
+    """One row per row of ``docs``: id, fp (the 64 bits as a long) and ``marks``, longs made of the row."""
+    marks = marks or {}
+    names = list(marks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in short(batches):
             fps = np.array([fingerprint(t, words, seed) for t in b.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(fps.view(np.int64))], ["id", "fp"])
+            columns = [b.column("id"), pa.array(fps.view(np.int64)), *[b.column(m) for m in names]]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "fp", *names])
 
-    base = docs.select(F.col(id_col).alias("id"), lower_ascii(or_empty(F.col(text_col))).alias("text"))
-    return base.mapInArrow(run, f"id {base.schema['id'].dataType.simpleString()}, fp long")
+    base = docs.select(
+        F.col(id_col).alias("id"), lower_ascii(or_empty(F.col(text_col))).alias("text"), *[c.alias(m) for m, c in marks.items()]
+    )
+    return base.mapInArrow(run, ", ".join([f"id {base.schema['id'].dataType.simpleString()}", "fp long", *[f"{m} long" for m in names]]))
 
 
 @dataclass
@@ -193,17 +201,11 @@ def near_links(
     return placed.groupBy("tree", "shard").applyInArrow(pairs, "u long, v long").distinct()
 
 
-def near_duplicates(
-    docs: DataFrame, words: int = 3, max_bits: int = 3, id_col: str = "doc_id", text_col: str = "text", seed: int = 42, **how
+def _grouped(
+    docs: DataFrame, words: int, max_bits: int, id_col: str, text_col: str, seed: int, marks: dict[str, Column] | None = None, **how
 ) -> DataFrame:
-    """One row per row of ``docs``: id, fp, component_id.
-
-    ``component_id`` is the smallest id that links lead to, the row's own
-    included.  Null and empty texts have fingerprint 0, linked like any other.
-    Rows without id take part; a component without any id has null.  Repeated
-    rows and equal fingerprints are one node.  An empty table gives no rows.
-    """
-    rows = written(fingerprints(docs, id_col, text_col, words, seed), "fingerprints")
+    """One row per row of ``docs``: id, fp, root (the least fingerprint of its component), component_id and ``marks``."""
+    rows = written(fingerprints(docs, id_col, text_col, words, seed, marks), "fingerprints")
     nodes = written(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "fp-nodes")
     links = written(near_links(nodes.select("fp"), max_bits, seed=seed, **how), "fp-links")
     found = written(components(links), "fp-components")
@@ -213,20 +215,41 @@ def near_duplicates(
     # Summed up per root before the shuffle; a root's nodes then look it up.
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("nodes"))
     labels = attach(written(rooted.select("fp", "n", "root"), "fp-roots"), written(smallest, "fp-smallest"), ["root"], "nodes")
-    return attach(rows, written(labels.select("fp", "n", "component_id"), "fp-labels"), ["fp"], "n").select(
-        "id", "fp", "component_id"
-    )
+    labels = written(labels.select("fp", "n", "root", "component_id"), "fp-labels")
+    return attach(rows, labels, ["fp"], "n").select("id", "fp", "root", "component_id", *(marks or {}))
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``docs``, all columns, with the smallest id of their group.
+def near_duplicates(
+    docs: DataFrame, words: int = 3, max_bits: int = 3, id_col: str = "doc_id", text_col: str = "text", seed: int = 42, **how
+) -> DataFrame:
+    """One row per row of ``docs``: id, fp, component_id.
 
-    Rows without id stay only where their whole group has none; then, and among
-    rows that share the smallest id, the one with the smallest hash over all
-    columns stays.
+    ``component_id`` is the smallest id that links lead to, the row's own
+    included.  Null and empty texts have fingerprint 0, linked like any other.
+    Rows without id take part; a component without any id has null.  Repeated
+    rows and equal fingerprints are one node.  An empty table gives no rows.
     """
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **how)
-    stay = found.where(F.col("id").eqNullSafe(F.col("component_id"))).select(tagged(F.col("id")).alias("key")).distinct()
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), tagged(F.col(id_col)).alias("key"))
-    kept = rows.join(stay, "key", "left_semi")
-    return kept.groupBy("key").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")
+    return _grouped(docs, words, max_bits, id_col, text_col, seed, **how).select("id", "fp", "component_id")
+
+
+def one_of_each(
+    docs: DataFrame, words: int = 3, max_bits: int = 3, id_col: str = "doc_id", text_col: str = "text", seed: int = 42, **how
+) -> DataFrame:
+    """One row of ``docs``, all columns, for every group: the one with the smallest id.
+
+    Groups are told apart by their links, not by ids: unrelated texts without id
+    or with the same id all stay.  A row without id stays only where its whole
+    group has none; then, and among rows of a group that share the smallest id,
+    the one with the smallest hash over all columns stays.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    marks = {"h1": F.xxhash64(row), "h2": F.xxhash64(F.lit("second"), row)}
+    found = _grouped(docs, words, max_bits, id_col, text_col, seed, marks, **how)
+    least = found.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(
+        F.min("component_id").alias("id"), F.min(F.struct(*marks)).alias("h"), F.count(F.lit(1)).alias("n")
+    )
+    # n counts all rows of a root with that id, so at least the equal ones.
+    stay = written(least.select(tagged(F.col("id")).alias("key"), "h.*", "n"), "fp-stay")
+    rows = docs.select(row.alias("row"), tagged(F.col(id_col)).alias("key"), *[c.alias(m) for m, c in marks.items()])
+    kept = attach(rows, stay, ["key", *marks], "n").where("n IS NOT NULL")
+    return kept.groupBy("key", *marks).agg(F.first("row").alias("row")).select("row.*")

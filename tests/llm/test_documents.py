@@ -198,6 +198,37 @@ def test_simhash_rows(docs):
     assert one.columns == docs.columns and one.count() == len({r.component_id for r in got})
 
 
+def test_simhash_keeps_one_row_of_every_group(spark):
+    """As many rows as groups by brute force, though ids are missing or repeated."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 40)) for _ in range(24)]
+    ids = [None] * 10 + [7, 7] + [None, 20, 30, None, 40, 40] + [None] * 4 + [50, 51]
+    rows = [(i, t, "en", "s", len(t)) for i, t in zip(ids, texts)]
+    # Near copies (a longer text with one word changed) with and without ids, and repeated rows.
+    long = [[f"u{x}" for x in rng.integers(0, 10**6, 3000)] for _ in range(3)]
+    for k, own in enumerate([(None, None, None), (None, 60, 61), (7, 7, 62)]):
+        for v, i in enumerate(own):
+            rows.append((i, " ".join(long[k][:-1] + [f"other{v}"]), "en", "s", v))
+    rows += [rows[0], rows[0], rows[10]]
+    fps = [simhash.fingerprint(r[1]) for r in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 3:
+                root = [root[j] if x == root[i] else x for x in root]
+    groups = [[r for r, g in zip(rows, root) if g == x] for x in set(root)]
+    assert len(groups) < len(set(rows)) and sum(len({r[0] for r in g}) > 1 for g in groups) >= 2
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    got = [tuple(r) for r in corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, schema), "").collect()]
+    assert len(got) == len(groups)
+    for g in groups:
+        ids = [r[0] for r in g if r[0] is not None]
+        mine = [r for r in got if r in g]
+        assert len(mine) == 1 and mine[0][0] == min(ids, default=None)
+
+
 def test_simhash_links_against_brute_force(spark):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 64, 1500, dtype=np.uint64, endpoint=False)
