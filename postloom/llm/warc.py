@@ -194,21 +194,51 @@ def parse(data: bytes) -> Iterator[dict]:
         yield row
 
 
+GZIP = b"\x1f\x8b"
+FED = 1 << 16  # compressed bytes handed over at a time, so that many members cost no long copies
+
+
+def gunzipped(data: bytes) -> tuple[bytes, dict | None]:
+    """The text of all gzip members one after the other, and a problem row for what is left, if anything."""
+    out, view, at = [], memoryview(data), 0
+    while at < len(data):
+        start, member, problem = at, zlib.decompressobj(31), None
+        if data[at : at + 2] != GZIP:
+            problem = "no gzip member"
+        try:
+            while not problem and not member.eof:
+                if at == len(data):
+                    problem = "gzip member cut short"
+                    break
+                out.append(member.decompress(view[at : at + FED]))
+                at = min(at + FED, len(data)) - len(member.unused_data)
+        except zlib.error:
+            problem = "gzip member damaged"
+        if problem:
+            return b"".join(out), dict.fromkeys([*FIELDS, "block", "problem"]) | {"block": data[start:], "problem": problem}
+    return b"".join(out), None
+
+
 def _parse_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = {"segment": pa.int64(), "total": pa.int64(), "block": pa.binary()}
     schema = pa.schema([(k, kinds.get(k, pa.string())) for k in [*FIELDS, "block", "problem"]])
     for b in batches:
         for data in b.column("content").to_pylist():
-            if data[:2] == b"\x1f\x8b":
-                data = zlib.decompressobj(31).decompress(data)
-            rows = list(parse(data))
+            left = None
+            if data[:2] == GZIP:
+                data, left = gunzipped(data)
+            rows = [*parse(data), *([left] if left else [])]
             for i in range(0, len(rows), 256):
                 yield pa.RecordBatch.from_pylist(rows[i : i + 256], schema=schema)
 
 
-def read_records(spark: SparkSession, folder: str) -> DataFrame:
-    """All records of the archives in ``folder``, continuations included."""
-    files = spark.read.format("binaryFile").load(f"{folder}/part-*").select("content")
+def read_records(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """All records of the archives in ``folder`` whose names match ``pattern``, continuations included.
+
+    Archives may be plain or have any number of gzip members.  Names that begin
+    with "_" or "." are no archives.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("content")
     return files.mapInArrow(_parse_files, RECORD)
 
 
@@ -250,14 +280,14 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist(out, schema=pa.schema([(n, kinds.get(n, pa.string())) for n in names]))
 
 
-def read_payloads(spark: SparkSession, folder: str) -> DataFrame:
+def read_payloads(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """One row per response and revisit: record_id, type, uri, refers_to, payload,
     payload_bytes, payload_digest (hex; of the full payload), problem (null if verified).
 
     A revisit's payload is empty; its length and digest are those it states.
     Continuations without a first segment give a row with a problem.
     """
-    records = read_records(spark, folder)
+    records = read_records(spark, folder, pattern)
     part = F.struct("segment", "block")
     keep = ["record_id", "type", "uri", "refers_to", "digest", "problem"]
     whole = records.where("segment IS NULL").select(

@@ -1,5 +1,6 @@
 """Vectors, archives, the registered queries against SQL, and the pipeline."""
 
+import gzip
 import hashlib
 import math
 from collections import Counter, defaultdict
@@ -78,6 +79,25 @@ def test_damaged_archives():
     assert warc.unchunked(warc.chunked(b"abc" * 99, 7)) == b"abc" * 99
 
 
+def test_archives_of_many_members(spark, tmp_path):
+    page = {"key": "v1", "copy": 1, "url": "u", "payload": "p" * 900, "refers": None}
+    records = [r + warc.BREAK for r in warc.page_records(page, "d", 300, 100)]
+    packed = [gzip.compress(r) for r in records]
+    (tmp_path / "CC-0.warc.gz").write_bytes(b"".join(packed))
+    (tmp_path / "CC-1.other").write_bytes(b"".join(packed))
+    (tmp_path / "_SUCCESS").write_bytes(b"")
+    assert warc.read_records(spark, str(tmp_path)).count() == 2 * len(records) > 4
+    got = warc.read_payloads(spark, str(tmp_path), "*.warc.gz").collect()
+    assert [(r.problem, bytes(r.payload)) for r in got] == [(None, b"p" * 900)]
+    for data, problem in ((b"junk", "no gzip member"), (packed[0][:-9], "gzip member cut short"), (packed[0][:10] + b"\xff" * 40, "gzip member damaged")):
+        text, left = warc.gunzipped(b"".join(packed) + data)
+        assert text.startswith(b"".join(records)) and left["problem"] == problem and left["block"] == data
+    many = [gzip.compress(f"{i} ".encode() * 9) for i in range(5000)]  # members that span what is fed at a time
+    assert warc.gunzipped(b"".join(many)) == (b"".join(f"{i} ".encode() * 9 for i in range(5000)), None)
+    (tmp_path / "CC-2.warc.gz").write_bytes(b"".join(packed) + b"junk")
+    assert [r.problem for r in warc.read_payloads(spark, str(tmp_path), "CC-2*").collect() if r.problem] == ["no gzip member"]
+
+
 def test_missing_segments_are_reported(spark, tmp_path):
     page = {"key": "v1", "copy": 1, "url": "u", "payload": "p" * 900, "refers": None}
     records = list(warc.page_records(page, "d", 300, 100))
