@@ -196,3 +196,136 @@ def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
         page("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"),
         page("refers_to").alias("refers_to"),
     )
+
+
+def crc32_sql(ascii_text: str) -> str:
+    """Unsigned CRC-32 of an ASCII string, as SQL."""
+    return (
+        f"xor(list_reduce(list_transform(string_split({ascii_text}, ''), lambda ch: ascii(ch)::BIGINT),"
+        " lambda acc, b: list_reduce(range(8), lambda c, i: xor(c >> 1, 3988292384 * (c & 1)), xor(acc, b)),"
+        " 4294967295::BIGINT), 4294967295)"
+    )
+
+
+OPENERS, MOST_OPENING = 100, 5  # the contract's conv_id - conv_id % 100 and crc32 % 6
+
+
+@query("op11_prefix_trie", f"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, count(*) AS n, {crc32_sql("conv_id::VARCHAR")} % 6 AS h FROM t GROUP BY conv_id),
+rebuilt AS (
+  SELECT c.conv_id, pos, role, text FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 100 AND pos < h
+  UNION ALL
+  SELECT c.conv_id, pos - c.h + least(c.h, coalesce(b.n, 0)), role, text
+  FROM c JOIN t ON t.conv_id = c.conv_id AND pos >= c.h LEFT JOIN c b ON b.conv_id = c.conv_id - c.conv_id % 100),
+path AS (
+  SELECT conv_id, 0 AS depth, '' AS key, 0 AS size FROM c
+  UNION ALL
+  SELECT conv_id, pos + 1, string_agg(sha256(length(role) || ':' || role || text), ',') OVER
+           (PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING), length(text) FROM rebuilt),
+linked AS (
+  SELECT *, lag(key) OVER w AS parent, lead(depth) OVER w IS NULL AS ends, min(conv_id) OVER (PARTITION BY depth, key) AS owner
+  FROM path WINDOW w AS (PARTITION BY conv_id ORDER BY depth)),
+kids AS (SELECT depth - 1 AS depth, parent AS key, count(DISTINCT key) AS kids FROM linked WHERE depth > 0 GROUP BY ALL),
+booked AS (
+  SELECT l.*, sum(CASE WHEN owner < conv_id THEN size ELSE 0 END) OVER w AS saved,
+         sum(CASE WHEN owner = conv_id AND kids IS NULL THEN 1 ELSE 0 END) OVER w AS leaves, coalesce(kids, 0) AS kids
+  FROM linked l LEFT JOIN kids k ON k.depth = l.depth AND k.key = l.key
+  WINDOW w AS (PARTITION BY conv_id ORDER BY l.depth DESC)),
+nodes AS (
+  SELECT depth, key, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(kids) AS n_children,
+         sum(leaves)::BIGINT AS n_leaves, sum(saved)::BIGINT AS saved_tokens,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM booked GROUP BY depth, key)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, n.n_leaves, n.saved_tokens, n.ends_sha256
+FROM nodes n LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.key = n.parent""")
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    from postloom.llm import prefix_trie
+
+    conv = F.col("conv_id")
+    convs, turns = prefix_trie.share_openings(
+        prefix_trie.ordered_turns(table(spark, folder, "conversations")), openers=conv - conv % OPENERS,
+        opening=F.crc32(conv.cast("string").cast("binary")) % (MOST_OPENING + 1), most=MOST_OPENING,
+    )
+    return prefix_trie.prefix_trie(convs, turns)
+
+
+ASSIGN_RE = (
+    "([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
+    r"""["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+)
+SECRET_SQL = [  # kind, expression, group, condition on the group v
+    ("assign", ASSIGN_RE, 2, "length(v) >= 8"), ("access", "AKIA[A-Z0-9]+", 0, "length(v) >= 16"),
+    ("hex", "[0-9a-f]+", 0, "length(v) >= 32"), ("forge", "gh[pousr]_([A-Za-z0-9]+)", 1, "checked"),
+    ("package", "npm_([A-Za-z0-9]+)", 1, "checked"),
+]
+BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+DIGITS62 = " || ".join(f"substr('{BASE62}', (crc // {62 ** k}) % 62 + 1, 1)" for k in range(5, -1, -1))
+FOUND = " UNION ALL ".join(
+    f"SELECT id, {i} AS ord, '{kind}' AS kind, '{ok}' = 'checked' AS signed, regexp_extract_all(text, '{rx}') AS m,"
+    f" regexp_extract_all(text, '{rx}', {group}) AS g, string_split_regex(text, '{rx}') AS p FROM d"
+    for i, (kind, rx, group, ok) in enumerate(SECRET_SQL)
+)
+LONG_ENOUGH = " WHEN ".join(f"'{kind}' THEN {ok}" for kind, _, _, ok in SECRET_SQL if ok != "checked")
+
+
+@query("op12_secrets", f"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text FROM documents),
+found AS ({FOUND}),
+one AS (
+  SELECT id, ord, kind, signed, m[i] AS m, g[i] AS v,
+         list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS start
+  FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM found)),
+summed AS (
+  SELECT *, CASE WHEN signed AND length(v) = 36 THEN {crc32_sql("left(v, 30)")} END AS crc FROM one),
+spans AS (
+  SELECT id, ord, kind, start, kind || ':' || start::BIGINT || ':' || (start + length(m))::BIGINT AS span FROM summed
+  WHERE CASE WHEN signed THEN coalesce({DIGITS62} = right(v, 6), false) ELSE CASE kind WHEN {LONG_ENOUGH} END END),
+per AS (
+  SELECT id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+         count(*) FILTER (kind = 'hex') AS n_hex, string_agg(span, ',' ORDER BY start, ord) FILTER (ord < 3) AS base,
+         string_agg(span, ',' ORDER BY start, ord) AS spans
+  FROM spans GROUP BY id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN per ON d.id = per.id""")
+def op12_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    from postloom.llm import secrets
+
+    spans = F.col("spans")
+    return secrets.find_secrets(table(spark, folder, "documents")).select(
+        F.col("id").alias("doc_id"), *[secrets.count(spans, k).alias(f"n_{k}") for k in secrets.BASE_KINDS],
+        F.sha2(secrets.joined(spans, secrets.BASE_KINDS), 256).alias("base_sha256"), secrets.joined(spans).alias("spans"),
+    )
+
+
+def with_periods(words, doc_id):
+    """The contract's words: of a tenth of the documents, all from some word on repeat with some period."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    n, g = F.size(words).cast("long"), F.floor(h / 10)
+    a = g % n
+    p = 1 + F.floor((n - a) / (3 + g % 8))
+    changed = F.transform(words, lambda w, i: F.when(i < a, w).otherwise(F.get(words, (a + (i - a) % p).cast("int"))))
+    return F.when((h % 10 == 0) & (n > 0), changed).otherwise(words)
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    from postloom.llm import periodic_runs
+
+    docs = table(spark, folder, "documents").withColumn("words", periodic_runs.words_of(F.col("text")))
+    found = periodic_runs.periodic_runs(docs, with_periods(F.col("words"), F.col("doc_id")))
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    # greatest length first, then smallest start and period
+    order = F.transform("runs", lambda r: F.struct((-r["length"]).alias("l"), r["start"].alias("s"), r["period"].alias("q")))
+    best = F.array_min(order)
+    return found.select(
+        F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), best["s"].alias("start"),
+        (-best["l"]).alias("length"), best["q"].alias("period"),
+        F.floor(-1000 * best["l"] / best["q"]).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )

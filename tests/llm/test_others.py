@@ -115,7 +115,7 @@ def cell(v):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_same_as_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
     frame = queries.QUERIES[name](spark, FOLDER)
     columns = sorted(frame.columns)
@@ -127,7 +127,7 @@ def test_same_as_sql(spark, name):
 
 
 def test_every_query_is_there():
-    assert sorted(int(n.split("_")[0][2:]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n.split("_")[0][2:]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 def test_pipeline(spark):
