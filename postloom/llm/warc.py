@@ -25,13 +25,13 @@ from collections.abc import Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postloom.llm.common import attach, or_empty, tagged
 from postloom.session import new_folder, written
 
-VERSION, BREAK = b"WARC/1.1\r\n", b"\r\n\r\n"
+VERSION, MARK, BREAK = b"WARC/1.1\r\n", b"WARC/1.", b"\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
 
@@ -82,7 +82,7 @@ def page_records(row: dict, date: str, segment_bytes: int, chunk_bytes: int) ->
         "WARC-Payload-Digest": digest, "Content-Type": "application/http; msgtype=response",
     }
     if row["refers"]:
-        headers |= {"WARC-Profile": PROFILE, "WARC-Refers-To": record_id(row["refers"], 1)}
+        headers |= {"WARC-Profile": PROFILE, "WARC-Refers-To": record_id(row["refers"], row.get("refers_copy") or 1)}
         yield record(headers, f"{HTTP}Content-Length: {len(payload)}\r\n\r\n".encode())
         return
     block = f"{HTTP}Transfer-Encoding: chunked\r\n\r\n".encode() + chunked(payload, chunk_bytes)
@@ -117,26 +117,34 @@ def _writer(date: str, segment_bytes: int, chunk_bytes: int):
 
 
 def with_revisits(pages: DataFrame, id_col: str, url_col: str, html_col: str, min_bytes: int) -> DataFrame:
-    """key, copy, url, payload, refers: the rows to archive.
+    """key, copy, url, payload, refers, refers_copy: the rows to archive.
 
     ``refers`` is the key of the page with the largest id among those with an
-    equal payload of at least ``min_bytes``, null for that page itself.  Rows
-    alike in id and payload are copies 1, 2, ..; all but the first revisit it.
+    equal payload of at least ``min_bytes``, null for that page itself.  The only
+    row of an id is copy 1 of it; where an id has several rows, whatever their
+    payloads, each one's copy is a number of its own, drawn from its place in
+    the table.  The pages are written with that place first, so places stay the
+    same, and everything about a row is found by it: no key, however hot, meets
+    in one task.
     """
-    rows = pages.select(
+    rows = written(pages.select(
         tagged(F.col(id_col)).alias("key"), F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"),
-        or_empty(F.col(html_col)).alias("payload"),
-    ).withColumn("sha1", F.sha1(F.col("payload").cast("binary"))).withColumn("size", F.octet_length("payload"))
-    keys = written(rows.where(F.col("size") >= min_bytes).select("key", "id", "sha1", "size"), "warc-keys")
-    best = F.max(F.struct(F.col("id").isNotNull().alias("some"), "id", "key"))["key"]
-    groups = keys.groupBy("sha1", "size").agg(best.alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    known = attach(keys, written(groups, "warc-groups"), ["sha1", "size"], "n").where("best IS NOT NULL")
-    refers = known.select("key", "sha1", "best").distinct()
-    copy = F.row_number().over(Window.partitionBy("key", "sha1").orderBy("url"))
-    return rows.join(refers, ["key", "sha1"], "left").withColumn("copy", copy).select(
-        "key", "copy", "url", "payload",
-        F.when((F.col("best") != F.col("key")) | (F.col("copy") > 1), F.col("best")).alias("refers"),
-    )
+        or_empty(F.col(html_col)).alias("payload"), F.monotonically_increasing_id().alias("place"),
+    ).withColumn("sha1", F.sha1(F.col("payload").cast("binary"))).withColumn("size", F.octet_length("payload")), "warc-pages")
+    keys = rows.select("place", "key", "id", "sha1", "size")
+    many = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    copy = F.when(F.col("n").isNull(), 1).otherwise(F.col("place") + 2).cast("long").alias("copy")
+    numbered = written(attach(keys, written(many, "warc-ids"), ["key"], "n").select(*keys.columns, copy), "warc-copies")
+    large = numbered.where(F.col("size") >= min_bytes)
+    best = F.max(F.struct(F.col("id").isNotNull().alias("some"), "id", "copy", "key")).alias("best")
+    groups = large.groupBy("sha1", "size").agg(best, F.count(F.lit(1)).alias("n")).where("n > 1")
+    known = attach(large, written(groups, "warc-groups"), ["sha1", "size"], "n").where("best IS NOT NULL")
+    known = known.where((F.col("best.key") != F.col("key")) | (F.col("best.copy") != F.col("copy")))
+    known = known.select("place", F.col("best.key").alias("refers"), F.col("best.copy").alias("refers_copy"))
+    odd = written(
+        numbered.select("place", "copy").join(known, "place", "left").where("copy != 1 OR refers IS NOT NULL"), "warc-revisits")
+    return rows.join(odd, "place", "left").select(
+        "key", F.coalesce("copy", F.lit(1)).alias("copy"), "url", "payload", "refers", "refers_copy")
 
 
 def write_archives(
@@ -147,7 +155,10 @@ def write_archives(
     """Archive every page; returns the folder.
 
     Null html is an empty payload, a null url leaves the target out, a null id
-    is an id of its own.  An empty table gives an empty folder.
+    is an id of its own.  Every row gets a record with an id of its own, also
+    where rows repeat or share an id with other payloads.  Long pages are cut
+    into segments; other columns are not read.  An empty table gives an empty
+    folder.
     """
     folder = folder or new_folder(pages.sparkSession, "warc")
     rows = with_revisits(pages, id_col, url_col, html_col, min_bytes)
@@ -168,39 +179,73 @@ FIELDS = {
 RECORD = "record_id string, type string, uri string, refers_to string, digest string, segment long, origin string, total long, block binary, problem string"
 
 
+def _record_at(data: bytes, at: int, ended: bool) -> tuple[dict | None, int]:
+    """(the record at ``at``, where the next begins); no record where more data is needed."""
+    empty = dict.fromkeys([*FIELDS, "block", "problem"])
+    begun = data[at : at + len(MARK)]
+    end = data.find(BREAK, at)
+    if end < 0 and not ended and MARK.startswith(begun):
+        return None, at
+    if begun != MARK or end < 0:
+        return empty | {"block": data[at:], "problem": "no record header"}, -1
+    lines = data[at:end].decode("utf-8", "replace").split("\r\n")[1:]
+    headers = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
+    row = empty | {k: headers.get(f.lower()) for k, f in FIELDS.items()}
+    for k in ("segment", "total"):
+        row[k] = int(row[k]) if row[k] and row[k].isdigit() else None
+    length = headers.get("content-length", "")
+    start = end + len(BREAK)
+    if length.isdigit() and start + int(length) > len(data) and not ended:
+        return None, at
+    if not length.isdigit() or start + int(length) > len(data):
+        return row | {"block": data[start:], "problem": "record cut short"}, -1
+    stop = start + int(length)
+    return row | {"block": data[start:stop]}, stop
+
+
+def _records(pieces: Iterator[bytes]) -> Iterator[dict]:
+    """Records of an archive that comes in pieces; one that is broken ends it, with its problem.
+
+    No more is held than the record being read and a piece.
+    """
+    held, new, size, needed, ended = b"", [], 0, 1, False
+    while not ended:
+        piece = next(pieces, None)
+        ended = piece is None
+        new.append(piece or b"")
+        size += len(new[-1])
+        if size < needed and not ended:
+            continue
+        held, new, at = b"".join([held, *new]), [], 0
+        while True:
+            while held.startswith(b"\r\n", at):
+                at += 2
+            if at == len(held) or (held[at:] == b"\r" and not ended):
+                break
+            row, after = _record_at(held, at, ended)
+            if row is None:
+                break
+            yield row
+            if after < 0:
+                return
+            at = after
+        held = held[at:]
+        # pieces are joined again when as much has come as is held, so a long record costs no repeated copies
+        size, needed = 0, max(1, len(held))
+
+
 def parse(data: bytes) -> Iterator[dict]:
     """Records of an archive in order; one that is broken ends the file, with its problem."""
-    at = 0
-    while at < len(data):
-        empty = dict.fromkeys([*FIELDS, "block", "problem"])
-        end = data.find(BREAK, at)
-        if not data.startswith(b"WARC/1.", at) or end < 0:
-            yield empty | {"block": data[at:], "problem": "no record header"}
-            return
-        lines = data[at:end].decode("utf-8", "replace").split("\r\n")[1:]
-        headers = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
-        row = empty | {k: headers.get(f.lower()) for k, f in FIELDS.items()}
-        for k in ("segment", "total"):
-            row[k] = int(row[k]) if row[k] and row[k].isdigit() else None
-        length = headers.get("content-length", "")
-        start = end + len(BREAK)
-        if not length.isdigit() or start + int(length) > len(data):
-            yield row | {"block": data[start:], "problem": "record cut short"}
-            return
-        at = start + int(length)
-        row["block"] = data[start:at]
-        while data.startswith(b"\r\n", at):
-            at += 2
-        yield row
+    return _records(iter((data,)))
 
 
 GZIP = b"\x1f\x8b"
 FED = 1 << 16  # compressed bytes handed over at a time, so that many members cost no long copies
 
 
-def gunzipped(data: bytes) -> tuple[bytes, dict | None]:
-    """The text of all gzip members one after the other, and a problem row for what is left, if anything."""
-    out, view, at = [], memoryview(data), 0
+def _unpacked(data: bytes, problems: list[dict]) -> Iterator[bytes]:
+    """The text of all gzip members in pieces; what is left, if anything, becomes a problem row."""
+    view, at = memoryview(data), 0
     while at < len(data):
         start, member, problem = at, zlib.decompressobj(31), None
         if data[at : at + 2] != GZIP:
@@ -210,33 +255,49 @@ def gunzipped(data: bytes) -> tuple[bytes, dict | None]:
                 if at == len(data):
                     problem = "gzip member cut short"
                     break
-                out.append(member.decompress(view[at : at + FED]))
+                yield member.decompress(view[at : at + FED])
                 at = min(at + FED, len(data)) - len(member.unused_data)
         except zlib.error:
             problem = "gzip member damaged"
         if problem:
-            return b"".join(out), dict.fromkeys([*FIELDS, "block", "problem"]) | {"block": data[start:], "problem": problem}
-    return b"".join(out), None
+            problems.append(dict.fromkeys([*FIELDS, "block", "problem"]) | {"block": data[start:], "problem": problem})
+            return
+
+
+def gunzipped(data: bytes) -> tuple[bytes, dict | None]:
+    """The text of all gzip members one after the other, and a problem row for what is left, if anything."""
+    problems: list[dict] = []
+    return b"".join(_unpacked(data, problems)), problems[0] if problems else None
+
+
+def archive_records(data: bytes) -> Iterator[dict]:
+    """Records of an archive, plain or of gzip members, unpacked only as far as they are read."""
+    problems: list[dict] = []
+    yield from _records(_unpacked(data, problems) if data[:2] == GZIP else iter((data,)))
+    yield from problems
 
 
 def _parse_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = {"segment": pa.int64(), "total": pa.int64(), "block": pa.binary()}
     schema = pa.schema([(k, kinds.get(k, pa.string())) for k in [*FIELDS, "block", "problem"]])
     for b in batches:
-        for data in b.column("content").to_pylist():
-            left = None
-            if data[:2] == GZIP:
-                data, left = gunzipped(data)
-            rows = [*parse(data), *([left] if left else [])]
-            for i in range(0, len(rows), 256):
-                yield pa.RecordBatch.from_pylist(rows[i : i + 256], schema=schema)
+        for content in b.column("content"):
+            held, size = [], 0
+            for row in archive_records(content.as_py()):
+                held.append(row)
+                size += len(row["block"] or b"")
+                if len(held) == 256 or size > 4 << 20:
+                    yield pa.RecordBatch.from_pylist(held, schema=schema)
+                    held, size = [], 0
+            yield pa.RecordBatch.from_pylist(held, schema=schema)
 
 
 def read_records(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """All records of the archives in ``folder`` whose names match ``pattern``, continuations included.
 
-    Archives may be plain or have any number of gzip members.  Names that begin
-    with "_" or "." are no archives.
+    Archives may be plain or have any number of gzip members; they are unpacked
+    while their records are read.  Names that begin with "_" or "." are no
+    archives.  A file is one binary value, so none may exceed 2 GB.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("content")
     return files.mapInArrow(_parse_files, RECORD)

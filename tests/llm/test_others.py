@@ -67,6 +67,35 @@ def test_archives(spark):
     assert warc.read_records(spark, folder).where("type = 'continuation'").count() > 10
 
 
+def test_rows_that_share_an_id(spark):
+    """An id on several payloads, and null ids on a third of all rows: every row comes back, under an id of its own."""
+    rows = [(5, "a", "x" * 30_000), (5, "a", "y" * 40_000), (6, "b", "x" * 30_000), (5, "c", "z"), (5, "c", "z")]
+    rows += [(None, f"u{i}", None if i % 2 else "same page " * 500) for i in range(20)] + [(100 + i, "d", f"{i}" * 1500) for i in range(20)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = warc.read_payloads(spark, warc.write_archives(table, segment_bytes=4000)).collect()
+    assert len(got) == len(rows) == len({r.record_id for r in got}) and all(r.problem is None for r in got)
+    assert Counter((r.payload_digest, r.payload_bytes) for r in got) == Counter(
+        (hashlib.sha1((h or "").encode()).hexdigest(), len(h or "")) for *_, h in rows)
+    of = {r.record_id: r for r in got}
+    for r in got:
+        if r.type == "revisit":
+            assert of[r.refers_to].type == "response" and of[r.refers_to].payload_digest == r.payload_digest
+    assert Counter(r.type for r in got)["revisit"] == 1 + 9
+    assert of["<urn:page:v6:1>"].type == "response"
+    empty = spark.createDataFrame([], "page_id long, url string, html string")
+    assert warc.read_payloads(spark, warc.write_archives(empty)).count() == 0
+
+
+def test_archives_in_pieces():
+    page = {"key": "v1", "copy": 1, "url": "u", "payload": "p" * 9000, "refers": None}
+    data = b"".join(r + warc.BREAK for r in warc.page_records(page, "d", 700, 100))
+    whole = list(warc.parse(data))
+    for size in (1, 7, 100, 5000):
+        pieces = (data[i : i + size] for i in range(0, len(data), size))
+        assert list(warc._records(pieces)) == whole
+    assert [r["problem"] for r in warc._records(iter((data, b"WARC/1.1\r\nContent-Length: 9\r\n", b"\r\nabc")))][-1] == "record cut short"
+
+
 def test_damaged_archives():
     page = {"key": "v1", "copy": 1, "url": "u", "payload": "p" * 900, "refers": None}
     records = list(warc.page_records(page, "d", 300, 100))
