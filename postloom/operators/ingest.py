@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from postloom.functions.text import fingerprint
+from postloom.operators.components import components
+from postloom.operators.keys import maybe_among
 from postloom.operators.lifecycle import touched
 from postloom.session import written
+from postloom.sources.store import append_load, fold, stored_keys
+
+ROUNDS = 2  # of ordered de-duplication, before what is left is cut into components
+COMPONENT_ROWS = 100_000  # keys of that many rows are held by a task at a time
+ROWS_PER_TASK = 500_000  # rows numbered by one task
 
 
 def with_fingerprint(records: DataFrame) -> DataFrame:
@@ -22,13 +32,20 @@ def split_rejects(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     return records.where(~bad), records.where(bad)
 
 
-def ordered_dedup(records: DataFrame, url: str = "url", fp: str = "fingerprint", seq: str = "seq") -> DataFrame:
+def ordered_dedup(
+    records: DataFrame, url: str = "url", fp: str = "fingerprint", seq: str = "seq", rounds: int = ROUNDS,
+    component_rows: int = COMPONENT_ROWS,
+) -> DataFrame:
     """Keep a row unless an earlier *kept* row has its url or its fingerprint.
 
-    A dropped row blocks nothing, so this is not a grouping: it is decided in
-    rounds.  A row that is the earliest undecided one of both its url and its
-    fingerprint is kept; undecided rows sharing a key with it are dropped.
-    The earliest undecided row is always kept, so the rounds end.
+    A dropped row blocks nothing, so this is not a grouping.  It starts in
+    rounds: a row that is the earliest undecided one of both its url and its
+    fingerprint is kept, undecided rows sharing a key with it are dropped.  What
+    ``rounds`` rounds leave open, chains of rows that hang on each other, is cut
+    into connected components.  Rows of different components share no key, so
+    each component of up to ``component_rows`` rows is decided by itself, row
+    by row in order; larger ones go through further rounds, in which they fall
+    apart.  The earliest undecided row is always kept, so this ends.
 
     ``seq`` is unique and gives the order; null fingerprints match nothing.
     Only keys travel through the rounds: copies of one (url, fingerprint) pair
@@ -42,41 +59,95 @@ def ordered_dedup(records: DataFrame, url: str = "url", fp: str = "fingerprint",
         .groupBy(F.col(url).alias("u"), F.col(fp).alias("f")).agg(F.min(seq).alias("s")),
         "undecided",
     )
-    kept_rounds = []
+    kept_parts = []
     while not undecided.isEmpty():
-        first_of_url = undecided.groupBy("u").agg(F.min(F.struct("s", "f")).alias("m")).select("u", "m.*")
-        first_of_fp = undecided.where("f IS NOT NULL").groupBy("f").agg(F.min("s").alias("s")).select("s")
-        kept = written(
-            first_of_url.where("f IS NOT NULL").join(first_of_fp, "s", "left_semi")
-            .unionByName(first_of_url.where("f IS NULL")),
-            "kept",
-        )
-        kept_rounds.append(kept.select("s"))
-        undecided = written(
-            undecided.join(kept.select("u"), "u", "left_anti")
-            .join(kept.where("f IS NOT NULL").select("f"), "f", "left_anti")
-            .select("u", "f", "s"),
-            "undecided",
-        )
-    if not kept_rounds:
+        for _ in range(rounds):
+            kept, undecided = _round(undecided)
+            kept_parts.append(kept)
+            if undecided.isEmpty():
+                break
+        else:
+            kept, undecided = _by_component(undecided, component_rows)
+            kept_parts.append(kept)
+    if not kept_parts:
         return records.where(F.lit(False))
-    kept_seq = kept_rounds[0]
-    for part in kept_rounds[1:]:
+    kept_seq = kept_parts[0]
+    for part in kept_parts[1:]:
         kept_seq = kept_seq.unionByName(part)
     return records.join(kept_seq, records[seq] == kept_seq["s"], "left_semi")
 
 
-def _lookup(jobs: DataFrame, key: str, out: str) -> DataFrame:
-    """Lowest posting id per key."""
-    return jobs.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("id").alias(out))
+def _round(undecided: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(``s`` of rows kept, rows still undecided)."""
+    first_of_url = undecided.groupBy("u").agg(F.min(F.struct("s", "f")).alias("m")).select("u", "m.*")
+    first_of_fp = undecided.where("f IS NOT NULL").groupBy("f").agg(F.min("s").alias("s")).select("s")
+    kept = written(
+        first_of_url.where("f IS NOT NULL").join(first_of_fp, "s", "left_semi")
+        .unionByName(first_of_url.where("f IS NULL")),
+        "kept",
+    )
+    left = written(
+        undecided.join(kept.select("u"), "u", "left_anti")
+        .join(kept.where("f IS NOT NULL").select("f"), "f", "left_anti")
+        .select("u", "f", "s"),
+        "undecided",
+    )
+    return kept.select("s"), left
+
+
+def _by_component(undecided: DataFrame, component_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(``s`` of rows kept, rows of components that are too large to decide at once)."""
+    nodes = written(undecided.withColumn("v", F.monotonically_increasing_id()), "nodes")
+    edges = None
+    for key in ("u", "f"):
+        least = nodes.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("v").alias("b"), F.count(F.lit(1)).alias("n"))
+        linked = nodes.join(least.where("n > 1"), key).select(F.col("v").alias("a"), "b")
+        edges = linked if edges is None else edges.unionByName(linked)
+    roots = components(edges).withColumnRenamed("node", "v")
+    rows = written(nodes.join(roots, "v", "left").withColumn("root", F.coalesce("root", "v")), "rooted")
+    large = written(
+        rows.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > component_rows), "large-components")
+    small = rows.join(large.select("root"), "root", "left_anti")
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root, urls, fps = None, set(), set()
+        for b in batches:
+            kept = []
+            for r, u, f, v in zip(*(b.column(n).to_pylist() for n in ("root", "u", "f", "v"))):
+                if r != root:
+                    root, urls, fps = r, set(), set()
+                if u in urls or f in fps:
+                    continue
+                urls.add(u)
+                if f is not None:
+                    fps.add(f)
+                kept.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64())], ["v"])
+
+    in_order = small.repartition("root").sortWithinPartitions("root", "s").select("root", "u", "f", "v")
+    kept = written(nodes.join(in_order.mapInArrow(decide, "v long"), "v", "left_semi").select("s"), "kept")
+    left = written(rows.join(large.select("root"), "root", "left_semi").select("u", "f", "s"), "undecided")
+    return kept, left
+
+
+def _lookup(batch: DataFrame, jobs: DataFrame, key: str, out: str) -> DataFrame:
+    """Lowest posting id per key of the batch.
+
+    The stored side is cut by the batch's keys before it is grouped, so what is
+    shuffled follows the batch and not the table.
+    """
+    near = maybe_among(jobs.select(key, "id"), batch.select(key), key)
+    return near.groupBy(key).agg(F.min("id").alias(out))
 
 
 def j_exists_url(records: DataFrame, jobs: DataFrame) -> DataFrame:
-    return records.join(_lookup(jobs, "url", "url_id"), "url", "left")
+    """``url_id``: the lowest posting id with the record's url.  ``records`` is read three times."""
+    return records.join(_lookup(records, jobs, "url", "url_id"), "url", "left")
 
 
 def j_exists_fp(records: DataFrame, jobs: DataFrame) -> DataFrame:
-    return records.join(_lookup(jobs, "fingerprint", "fp_id"), "fingerprint", "left")
+    """``fp_id``: the lowest posting id with the record's fingerprint.  ``records`` is read three times."""
+    return records.join(_lookup(records, jobs, "fingerprint", "fp_id"), "fingerprint", "left")
 
 
 def classify(records: DataFrame, jobs: DataFrame) -> DataFrame:
@@ -86,8 +157,10 @@ def classify(records: DataFrame, jobs: DataFrame) -> DataFrame:
     again, by url before fingerprint) or ``repeat`` (of a record kept earlier
     in this batch).  Two equi joins take the place of an either-key condition.
     """
-    # written once: the records are read again by the rounds and by both writers
-    found = written(j_exists_fp(j_exists_url(records, jobs), jobs), "classified")
+    # written once: the records are read again by the lookups, the rounds and both writers
+    records = written(records, "records")
+    url_ids, fp_ids = _lookup(records, jobs, "url", "url_id"), _lookup(records, jobs, "fingerprint", "fp_id")
+    found = written(records.join(url_ids, "url", "left").join(fp_ids, "fingerprint", "left"), "classified")
     unknown = found.where(F.col("url_id").isNull() & F.col("fp_id").isNull())
     kept = ordered_dedup(unknown.select("url", "fingerprint", "seq")).select(
         F.col("url").alias("kept_url"), F.col("seq").alias("kept_seq"))
@@ -103,15 +176,17 @@ def classify(records: DataFrame, jobs: DataFrame) -> DataFrame:
         "url_id", "fp_id", "kept_url", "kept_seq")
 
 
-def numbered(rows: DataFrame, order: str | list[str], start: Column | int, out: str = "id") -> DataFrame:
+def numbered(
+    rows: DataFrame, order: str | list[str], start: Column | int, out: str = "id", rows_per_task: int = ROWS_PER_TASK,
+) -> DataFrame:
     """Consecutive numbers from ``start`` in ``order``, without one task seeing all rows.
 
-    Rows are range-partitioned and written, so the partitions stay fixed; each
-    partition counts on from the sizes of those before it.
+    Rows are counted, range-partitioned by sampled quantiles into as many
+    partitions as ``rows_per_task`` asks for, and written, so the partitions
+    stay fixed; each partition counts on from the sizes of those before it.
     """
-    spark = rows.sparkSession
     order = [order] if isinstance(order, str) else order
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, -(-rows.count() // rows_per_task))
     ranged = written(
         rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ranged")
     sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
@@ -139,9 +214,13 @@ def ingest_touch(jobs: DataFrame, outcomes: DataFrame, as_of) -> DataFrame:
     }).drop("_seen")
 
 
-def ingest_new_row(jobs: DataFrame, outcomes: DataFrame, as_of) -> DataFrame:
-    """Posting rows of the new records, numbered on from the stored ones in arrival order."""
-    top = jobs.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"]
+def ingest_new_row(jobs: DataFrame, outcomes: DataFrame, as_of, top: int | None = None) -> DataFrame:
+    """Posting rows of the new records, numbered on from the stored ones in arrival order.
+
+    ``top`` is the highest stored id, looked up where it is not known.
+    """
+    if top is None:
+        top = jobs.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"]
     new = outcomes.where("outcome = 'new'")
     at = {n: F.lit(as_of).cast(jobs.schema[n].dataType) for n in ("scraped_at", "updated_at", "last_seen_at")}
     rows = numbered(new, "seq", int(top) + 1).withColumns({**at, "is_active": F.lit(True)})
@@ -159,6 +238,27 @@ def ingest(jobs: DataFrame, records: DataFrame, as_of) -> tuple[DataFrame, DataF
     return after, outcomes, rejects
 
 
+def load_into(
+    spark: SparkSession, folder: str, schema, records: DataFrame, as_of, load: int, fold_now: bool = True,
+) -> tuple[DataFrame, DataFrame]:
+    """Load records into a store (``sources/store.py``) as load number ``load``.
+
+    Returns (outcome per usable record, rejected records).  What is written is
+    the new postings and the sightings; ``fold_now`` also brings them into the
+    buckets they touch.  Repeating a load gives the same table again.
+    """
+    usable, rejects = split_rejects(records)
+    keys, top = stored_keys(spark, folder, schema, load)
+    outcomes = written(classify(with_fingerprint(usable), keys), "outcomes")
+    empty = spark.createDataFrame([], schema)
+    seen = outcomes.where("outcome = 'touch'").select(F.col("job_id").alias("id")).distinct()
+    at = F.lit(as_of).cast("timestamp_ntz").alias("last_seen_at")
+    append_load(folder, load, ingest_new_row(empty, outcomes, as_of, top), seen.select("id", at))
+    if fold_now:
+        fold(spark, folder, schema, load)
+    return outcomes, rejects
+
+
 def run_counts(outcomes: DataFrame, rejects: DataFrame, source: str = "job_board") -> DataFrame:
     """Per source: scraped, added, duplicates, errors.  A failed commit is ``commit_failed``."""
     rows = outcomes.select(source, "outcome").unionByName(

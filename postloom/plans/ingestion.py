@@ -7,7 +7,7 @@ from postloom.plans.registry import query
 from postloom.plans.views import sql_fingerprint
 from postloom.session import new_folder, written
 from postloom.sources.paging import first_by_key
-from postloom.sources.tables import read_version, write_version
+from postloom.sources.store import append_load, create_store, fold, read_store
 from postloom.streaming import ingest as streams
 
 c = F.col
@@ -81,14 +81,16 @@ def _(v):
 
 @query("j_exists_url", "SELECT p.url, k.id AS url_id FROM v_posts p JOIN v_known k ON k.url = p.url")
 def _(v):
-    return ingest.j_exists_url(v.v_posts, v.v_known).where("url_id IS NOT NULL").select("url", "url_id")
+    posts = written(v.v_posts.select("url"), "posts")
+    return ingest.j_exists_url(posts, v.v_known).where("url_id IS NOT NULL").select("url", "url_id")
 
 
 @query("j_exists_fp", f"""
   WITH {SQL_USABLE} SELECT u.url, u.fp AS fingerprint, k.id AS fp_id FROM usable u
   JOIN (SELECT fingerprint, min(id) AS id FROM v_known WHERE fingerprint IS NOT NULL GROUP BY 1) k ON k.fingerprint = u.fp""")
 def _(v):
-    return ingest.j_exists_fp(_usable(v), v.v_known).where("fp_id IS NOT NULL").select("url", "fingerprint", "fp_id")
+    posts = written(_usable(v).select("url", "fingerprint"), "posts")
+    return ingest.j_exists_fp(posts, v.v_known).where("fp_id IS NOT NULL").select("url", "fingerprint", "fp_id")
 
 
 @query("win_first_by_key", """
@@ -103,34 +105,55 @@ def _(v):
     return _outcomes(v).select(*SEQ, "url", "outcome", "job_id")
 
 
-@query("ingest_touch", f"""
-  WITH {SQL_OUTCOMES}, seen AS (SELECT DISTINCT job_id FROM outcomes WHERE outcome = 'touch')
-  SELECT id, CASE WHEN job_id IS NOT NULL THEN TIMESTAMP '{AS_OF}' ELSE last_seen_at END AS last_seen_at,
+STORED = [
+    "id", "title", "company", "description", "salary_text", "salary_annual_min", "salary_annual_max", "location", "url", "job_board",
+    "scraped_at", "updated_at", "fingerprint", "last_seen_at", "is_active",
+]
+_STORED = ", ".join(STORED)
+_NEW = f"""SELECT (SELECT max(id) FROM v_known) + row_number() OVER (ORDER BY seq) AS id, title, company, description, salary_text,
+    NULL::bigint AS salary_annual_min, NULL::bigint AS salary_annual_max, location, url, job_board, TIMESTAMP '{AS_OF}' AS scraped_at,
+    TIMESTAMP '{AS_OF}' AS updated_at, fp AS fingerprint, TIMESTAMP '{AS_OF}' AS last_seen_at, true AS is_active FROM outcomes WHERE outcome = 'new'"""
+_TOUCHED = f"""SELECT * EXCLUDE (job_id, last_seen_at, updated_at, is_active),
+    CASE WHEN job_id IS NOT NULL THEN TIMESTAMP '{AS_OF}' ELSE last_seen_at END AS last_seen_at,
     CASE WHEN job_id IS NOT NULL THEN TIMESTAMP '{AS_OF}' ELSE updated_at END AS updated_at, job_id IS NOT NULL OR is_active AS is_active
-  FROM v_known LEFT JOIN seen ON job_id = id""")
+  FROM v_known LEFT JOIN (SELECT DISTINCT job_id FROM outcomes WHERE outcome = 'touch') ON job_id = id"""
+
+
+@query("ingest_touch", f"WITH {SQL_OUTCOMES} {_TOUCHED}")
 def _(v):
-    return ingest.ingest_touch(v.v_known, _outcomes(v), AS_OF).select("id", "last_seen_at", "updated_at", "is_active")
+    """Sightings of a load folded into the buckets they touch; the load adds no postings here."""
+    folder = _stored(v)
+    seen = _outcomes(v).where("outcome = 'touch'").select(c("job_id").alias("id")).distinct()
+    at = F.lit(AS_OF).cast("timestamp_ntz").alias("last_seen_at")
+    append_load(folder, 0, v.v_known.limit(0), seen.select("id", at))
+    fold(v.spark, folder, v.v_known.schema, 0)
+    return read_store(v.spark, folder, v.v_known.schema)
 
 
-_NEW = f"""SELECT (SELECT max(id) FROM v_known) + row_number() OVER (ORDER BY seq) AS id, title, company, url, job_board,
-    TIMESTAMP '{AS_OF}' AS scraped_at, fp AS fingerprint, TIMESTAMP '{AS_OF}' AS last_seen_at, true AS is_active FROM outcomes WHERE outcome = 'new'"""
-NEW = ["id", "title", "company", "url", "job_board", "scraped_at", "fingerprint", "last_seen_at", "is_active"]
+@query("ingest_touch_rows", f"WITH {SQL_OUTCOMES} {_TOUCHED}")
+def _(v):
+    return ingest.ingest_touch(v.v_known, _outcomes(v), AS_OF)
 
 
 @query("ingest_new_row", f"WITH {SQL_OUTCOMES} {_NEW}")
 def _(v):
-    return ingest.ingest_new_row(v.v_known, _outcomes(v), AS_OF).select(*NEW)
+    return ingest.ingest_new_row(v.v_known, _outcomes(v), AS_OF).select(*STORED)
 
 
-SQL_AFTER = f"""
-  SELECT id, title, company, url, job_board, scraped_at, fingerprint,
-    CASE WHEN job_id IS NOT NULL THEN TIMESTAMP '{AS_OF}' ELSE last_seen_at END AS last_seen_at, job_id IS NOT NULL OR is_active AS is_active
-  FROM v_known LEFT JOIN (SELECT DISTINCT job_id FROM outcomes WHERE outcome = 'touch') ON job_id = id UNION ALL {_NEW}"""
+SQL_AFTER = f"SELECT {_STORED} FROM ({_TOUCHED}) UNION ALL {_NEW}"
 
 
 @query("ingest", f"WITH {SQL_OUTCOMES} {SQL_AFTER}")
 def _(v):
-    return ingest.ingest(v.v_known, v.v_posts, AS_OF)[0].select(*NEW)
+    """A load into the stored table."""
+    folder = _stored(v)
+    ingest.load_into(v.spark, folder, v.v_known.schema, v.v_posts, AS_OF, 0)
+    return read_store(v.spark, folder, v.v_known.schema)
+
+
+@query("ingest_frames", f"WITH {SQL_OUTCOMES} {SQL_AFTER}")
+def _(v):
+    return ingest.ingest(v.v_known, v.v_posts, AS_OF)[0].select(*STORED)
 
 
 @query("ingest_errors", """
@@ -160,25 +183,24 @@ def _(v):
     return ingest.commit_failed(_counts(v))
 
 
-def _landed_posts(v):
-    """Posts written as three files in order of arrival."""
-    folder = new_folder(v.spark, "landed")
-    for low, high in (("0001", "1995"), ("1995", "1998"), ("1998", "9999")):
-        part = v.v_posts.where((F.year("seq.l_shipdate") >= int(low)) & (F.year("seq.l_shipdate") < int(high)))
-        part.coalesce(1).write.mode("append").parquet(folder)
+def _stored(v):
+    """A store holding the known postings."""
+    folder = new_folder(v.spark, "store")
+    create_store(v.v_known, folder)
     return folder
 
 
 @query("stream_ingest", f"WITH {SQL_OUTCOMES} {SQL_AFTER}")
 def _(v):
-    folder = _landed_posts(v)
-    jobs_folder = new_folder(v.spark, "jobs")
-    write_version(v.v_known, jobs_folder, 0)
-    records = streams.landed(v.spark, folder, v.v_posts.schema)
-    run = streams.stream_ingest(records, jobs_folder, v.v_known.schema, new_folder(v.spark, "offsets"), AS_OF)
-    run.awaitTermination()
-    last = run.lastProgress["batchId"] + 1
-    return read_version(v.spark, jobs_folder, last, v.v_known.schema).select(*NEW)
+    """One run of the stream per arrival, as the files come in; the second fold takes all batches before it."""
+    store, offsets = _stored(v), new_folder(v.spark, "offsets")
+    landing = new_folder(v.spark, "landed")
+    for low, high in (("0001", "1995"), ("1995", "1998"), ("1998", "9999")):
+        part = v.v_posts.where((F.year("seq.l_shipdate") >= int(low)) & (F.year("seq.l_shipdate") < int(high)))
+        part.write.mode("append").parquet(landing)
+        records = streams.landed(v.spark, landing, v.v_posts.schema, files_per_batch=None)
+        streams.stream_ingest(records, store, v.v_known.schema, offsets, AS_OF, fold_every=2).awaitTermination()
+    return read_store(v.spark, store, v.v_known.schema).select(*STORED)
 
 
 @query("stream_last_seen", f"""

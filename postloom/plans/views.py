@@ -439,7 +439,8 @@ SQL = {
       FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
       JOIN supplier ON l_suppkey = s_suppkey""",
     "v_known": f"""
-      SELECT o_orderkey AS id, title, company,
+      SELECT o_orderkey AS id, title, company, NULL::varchar AS description, NULL::varchar AS salary_text,
+        NULL::bigint AS salary_annual_min, NULL::bigint AS salary_annual_max, NULL::varchar AS location,
         'https://' || left(o_orderpriority,1) || '.example.com/job/' || o_orderkey AS url,
         o_orderpriority AS job_board, o_orderdate AS scraped_at, o_orderdate AS updated_at,
         CASE WHEN o_orderkey % 10 <> 0 THEN {sql_fingerprint('title', 'company', 'o_orderpriority')} END AS fingerprint,

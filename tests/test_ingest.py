@@ -3,8 +3,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from postloom.operators import ingest
-from postloom.sources.tables import read_version, write_version
+from postloom.operators import ingest, keys
+from postloom.operators.components import components
+from postloom.sources import store
 from postloom.streaming import ingest as streams
 
 AS_OF = "2024-05-01 00:00:00"
@@ -58,6 +59,57 @@ def test_ordered_dedup_empty(spark):
     assert ingest.ordered_dedup(frame).count() == 0
 
 
+def chains(n, length):
+    """Chains in which every row hangs on the one before, in a shuffled order of arrival."""
+    rows = []
+    for c in range(n):
+        keys_of = [(f"u{c}-{(i + 1) // 2}", f"f{c}-{i // 2}") for i in range(length)]
+        rows += [(i * n + c, *k) for i, k in enumerate(keys_of)]
+    return rows
+
+
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    rows = chains(30, 1000)
+    frame = spark.createDataFrame(rows, "seq long, url string, fingerprint string").repartition(8)
+    steps = []
+    monkeypatch.setattr(ingest, "written", lambda df, label, real=ingest.written: (steps.append(label), real(df, label))[1])
+    got = {r["seq"] for r in ingest.ordered_dedup(frame).collect()}
+    assert got == sequential(rows) and 30 * 400 < len(got) < 30 * 600
+    assert steps.count("kept") == ingest.ROUNDS + 1  # and then every chain by itself
+
+
+@pytest.mark.parametrize("limit", [0, 3, 40])
+def test_large_components_go_on_in_rounds(spark, limit):
+    rng = random.Random(limit)
+    rows = chains(3, 10) + [(1000 + s, u, f) for s, u, f in random_rows(rng, 150, 60, 60, 0.1)]
+    frame = spark.createDataFrame(rows, "seq long, url string, fingerprint string")
+    got = {r["seq"] for r in ingest.ordered_dedup(frame, component_rows=limit).collect()}
+    assert got == sequential(rows)
+
+
+def test_components_of_a_long_path_and_a_star(spark):
+    order = list(range(500))
+    random.Random(1).shuffle(order)
+    edges = list(zip(order, order[1:])) + [(1000, 1000 + i) for i in range(300)] + [(5000, 5000)]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys(range(500), 0), **dict.fromkeys(range(1000, 1300), 1000)}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_stored_side_is_cut_before_it_is_shuffled(spark):
+    stored = spark.range(100_000).select("id", F.concat(F.lit("u"), "id").alias("url")).unionByName(
+        spark.range(5).select((-F.col("id")).alias("id"), F.lit(None).cast("string").alias("url")))
+    batch = spark.range(0, 200_000, 200).select(F.concat(F.lit("u"), "id").alias("url")).union(spark.createDataFrame([(None,)], "url string"))
+    near = {r["id"] for r in keys.maybe_among(stored, batch, "url").collect()}
+    assert set(range(0, 100_000, 200)) <= near and len(near) < 500 + 0.03 * 100_000
+    assert keys.maybe_among(stored, batch, "url", max_words=10).count() == 100_000  # too many keys for the filter
+    found = ingest.j_exists_url(batch, stored).where("url_id IS NOT NULL")
+    assert found.count() == 500
+    plan = ingest._lookup(batch, stored, "url", "x")._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("HashAggregate") < plan.index("BroadcastHashJoin")  # cut below the first exchange of the stored side
+    assert keys.maybe_among(stored, batch.limit(0), "url").count() == 0
+
+
 def load_by_row(stored, incoming):
     """Outcome per incoming row when rows are loaded one after another."""
     table = [dict(id=i, url=u, fp=f, new=False) for i, u, f in stored]
@@ -119,12 +171,12 @@ def test_backfill(spark):
 def test_stream_loads_batch_after_batch(spark, tmp_path):
     jobs = spark.createDataFrame([(1, "T", "C", "u1", "b", None, None, None, None, False)], JOBS)
     folder, landing = str(tmp_path / "jobs"), str(tmp_path / "landing")
-    write_version(jobs, folder, 0)
+    store.create_store(jobs, folder, bucket_rows=2)
     batches = [[(1, "A", "C", "u2", "b")], [(2, "T", "C", "u1", "b"), (3, "A", "X", "u2", "b")], [(4, "N", "C", "u4", "b")]]
 
     def run():
         query = streams.stream_ingest(streams.landed(spark, landing, incoming(spark, batches[0]).schema), folder, jobs.schema,
-                                      str(tmp_path / "offsets"), AS_OF)
+                                      str(tmp_path / "offsets"), AS_OF, fold_every=2)
         query.awaitTermination()
 
     for rows in batches[:2]:
@@ -132,5 +184,64 @@ def test_stream_loads_batch_after_batch(spark, tmp_path):
     run()
     incoming(spark, batches[2]).coalesce(1).write.mode("append").parquet(landing)
     run()  # goes on where the first run stopped
-    got = {r["id"]: (r["url"], r["is_active"]) for r in read_version(spark, folder, 3, jobs.schema).collect()}
+    got = {r["id"]: (r["url"], r["is_active"]) for r in store.read_store(spark, folder, jobs.schema).collect()}
     assert got == {1: ("u1", True), 2: ("u2", True), 3: ("u4", True)}
+    assert store.folded(spark, folder) == (1, 2, 2)  # two batches in the buckets, the third in the log
+
+
+def files(folder):
+    return {str(f): f.stat().st_size for f in folder.rglob("*.parquet")}
+
+
+def posting(i):
+    return (i, f"T{i}", f"C{i}", f"u{i}", "b", None, None, f"f{i}", None, False)
+
+
+def test_loads_write_what_the_batch_touches(spark, tmp_path):
+    rows = [(1, "T7", "C7", "u7", "b"), (2, "T950", "C", "u950", "b"), (3, "new", "C", "v1", "b")]
+    written = {}
+    for size in (1000, 8000):
+        folder = tmp_path / str(size)
+        jobs = spark.createDataFrame([posting(i) for i in range(1, size + 1)], JOBS)
+        store.create_store(jobs, str(folder), bucket_rows=100)
+        before = files(folder)
+        ingest.load_into(spark, str(folder), jobs.schema, incoming(spark, rows), AS_OF, 0)
+        after = files(folder)
+        written[size] = sum(n for f, n in after.items() if f not in before)
+        changed = {f.split("bucket=")[1].split("/")[0] for f in after if f not in before and "bucket=" in f}
+        assert changed == {"0", "9", str((size + 1) // 100)}
+        got = {r["id"]: (r["url"], r["is_active"], str(r["last_seen_at"])) for r in store.read_store(spark, str(folder), jobs.schema).collect()}
+        assert len(got) == size + 1 and got[size + 1] == ("v1", True, AS_OF) and got[8] == ("u8", False, "None")
+        assert got[7] == ("u7", True, AS_OF) and got[950] == ("u950", True, AS_OF)
+    assert written[8000] < 1.2 * written[1000]
+
+
+def test_repeated_steps_give_the_same_table(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path / "jobs")
+    jobs = spark.createDataFrame([posting(i) for i in range(1, 31)], JOBS)
+    store.create_store(jobs, folder, bucket_rows=10)
+
+    def state():
+        return sorted(map(str, store.read_store(spark, folder, jobs.schema).collect()))
+
+    first = [(1, "T3", "C3", "u3", "b"), (2, "n", "C", "v1", "b")]
+    ingest.load_into(spark, folder, jobs.schema, incoming(spark, first), AS_OF, 0, fold_now=False)
+    once = state()
+    ingest.load_into(spark, folder, jobs.schema, incoming(spark, first), AS_OF, 0, fold_now=False)
+    assert state() == once
+    second = [(1, "n", "C", "v1", "b"), (2, "m", "C", "v2", "b"), (3, "T25", "C25", "u25", "b")]
+    ingest.load_into(spark, folder, jobs.schema, incoming(spark, second), AS_OF, 1, fold_now=False)
+    twice = state()
+    assert len(twice) == 32
+    # a fold that stops after the buckets are replaced, before it is noted
+    note = store._note
+    monkeypatch.setattr(store, "_note", lambda *a: note(*a) if a[3] == "staged" else (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError):
+        store.fold(spark, folder, jobs.schema, 1)
+    monkeypatch.undo()
+    assert state() == twice and store.folded(spark, folder).load == -1
+    outcomes, _ = ingest.load_into(spark, folder, jobs.schema, incoming(spark, second), AS_OF, 1, fold_now=True)
+    assert sorted((r["seq"], r["outcome"]) for r in outcomes.collect()) == [(1, "touch"), (2, "new"), (3, "touch")]
+    assert state() == twice and store.folded(spark, folder) == (1, 32, 10)
+    store.fold(spark, folder, jobs.schema, 1)
+    assert state() == twice
