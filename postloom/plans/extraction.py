@@ -19,12 +19,21 @@ RECORD = ("job_id", "title", "company", "location", "salary_text", "salary_annua
           "url", "job_board", "description")
 
 
-def nodes(v, board):
-    return dom.with_nodes(v.board_pages(board))
+def nodes(v, board, fields=None):
+    return dom.with_nodes(v.board_pages(board), fields)
 
 
-def raw_pages(v):
-    return dom.with_nodes(src_pages(v.spark, f"{v.folder}/pages.parquet"))
+def raw_pages(v, fields=None):
+    return dom.with_nodes(src_pages(v.spark, f"{v.folder}/pages.parquet"), fields)
+
+
+MARKUP = ["tag", "attrs"]  # what the counts of the page report look at
+
+
+def surveyed(v):
+    """Raw pages, doda pages and pages on which every pattern of the page report occurs."""
+    parts = [raw_pages(v, MARKUP), nodes(v, "doda", MARKUP), nodes(v, "survey", MARKUP)]
+    return boards.union_sources([p.select("page_id", "nodes") for p in parts])
 
 
 _DODA = f"""SELECT cast(k.id as varchar) AS job_id, title, company, location, k.salary_text, lo AS salary_annual_min, hi AS salary_annual_max,
@@ -220,7 +229,7 @@ def _(v):
 @query("profile_tags", r"""
   SELECT tag, count(*) AS found FROM (SELECT lower(unnest(regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9]*)', 1))) AS tag FROM pages) GROUP BY 1""")
 def _(v):
-    return profile.profile_tags(raw_pages(v))
+    return profile.profile_tags(raw_pages(v, ["tag"]))
 
 
 @query("profile_links", f"""
@@ -238,23 +247,30 @@ def _(v):
 _SEL = "SELECT '{0}' AS pattern, {1} AS found"
 
 
+def _every(divisor, table="v_card", key="id"):
+    return f"(SELECT count(*) FROM (SELECT DISTINCT {key} FROM {table}) WHERE {key} % {divisor} = 0)"
+
+
+_CARDS = "(SELECT count(*) FROM v_card)"
+_PAGE = lambda divisor: _every(divisor, key="page_no")
+
+
 @query("profile_selectors", " UNION ALL ".join([
-    _SEL.format("article", "(SELECT count(*) FROM v_card) + (SELECT sum(len(regexp_extract_all(html, '<article')))::bigint FROM pages)"),
-    _SEL.format("div_job", "(SELECT count(*) FROM v_card)"), _SEL.format("div_card", "(SELECT count(*) FROM v_card)"),
-    _SEL.format("div_list_item", "0::bigint"), _SEL.format("li_job", "0::bigint"),
-    _SEL.format("div_jobcard", "0::bigint"), _SEL.format("div_searchlist", "0::bigint")]))
+    _SEL.format("article", f"{_CARDS} + {_every(11)} + (SELECT sum(len(regexp_extract_all(html, '<article')))::bigint FROM pages)"),
+    _SEL.format("div_job", f"{_CARDS} + {_every(5)}"), _SEL.format("div_card", f"{_CARDS} + {_every(5)}"),
+    _SEL.format("div_list_item", _every(3)), _SEL.format("li_job", _every(2)),
+    _SEL.format("div_jobcard", _every(5)), _SEL.format("div_searchlist", _every(7))]))
 def _(v):
-    both = raw_pages(v).select("page_id", "nodes").unionByName(nodes(v, "doda").select("page_id", "nodes"))
-    return profile.profile_selectors(both)
+    return profile.profile_selectors(surveyed(v))
 
 
 @query("profile_pagination", f"""
-  SELECT 'nav_pag' AS pattern, 0::bigint AS found UNION ALL SELECT 'ul_pag', 0 UNION ALL SELECT 'div_pag', 0 UNION ALL SELECT 'a_next', 0
-  UNION ALL SELECT 'a_rel_next', 0 UNION ALL SELECT 'a_href_page', (SELECT count(*) FROM ({_PAGES}) WHERE more)
-    + (SELECT count(*) FROM ({_LINKS}) WHERE contains(lower(href), 'page'))""")
+  SELECT 'nav_pag' AS pattern, {_PAGE(2)} AS found UNION ALL SELECT 'ul_pag', {_PAGE(3)} UNION ALL SELECT 'div_pag', {_PAGE(4)}
+  UNION ALL SELECT 'a_next', {_PAGE(2)} UNION ALL SELECT 'a_rel_next', {_PAGE(5)}
+  UNION ALL SELECT 'a_href_page', (SELECT count(*) FROM ({_PAGES}) WHERE more)
+    + (SELECT count(*) FROM ({_LINKS}) WHERE contains(lower(href), 'page')) + {_PAGE(7)}""")
 def _(v):
-    both = raw_pages(v).select("page_id", "nodes").unionByName(nodes(v, "doda").select("page_id", "nodes"))
-    return profile.profile_pagination(both)
+    return profile.profile_pagination(surveyed(v))
 
 
 @query("profile_classes", """
@@ -263,23 +279,34 @@ def _(v):
     UNION ALL SELECT 'jobCardShelfContainer', count(*) FROM v_card WHERE id % 3 = 1
     UNION ALL SELECT 'jcs-JobTitle css-1', count(*) FROM v_card) ORDER BY found DESC, class LIMIT 10""")
 def _(v):
-    return profile.profile_classes(nodes(v, "doda").unionByName(nodes(v, "indeed")))
+    return profile.profile_classes(nodes(v, "doda", MARKUP).unionByName(nodes(v, "indeed", MARKUP)))
 
 
 @query("profile_headings", r"""
   SELECT page_id, cast(len(list_filter(regexp_extract_all(html, '<h1>([^<]*)</h1>', 1), lambda x: length(trim(x)) > 10 AND length(trim(x)) < 200)) as int) AS headings,
-    cast(0 as int) AS json_ld, length(trim(regexp_extract(html, '<title>([^<]*)</title>', 1))) > 0 AS has_title
-  FROM (SELECT page_id, replace(replace(html, '&amp;', '&'), '&lt;', '~') AS html FROM pages)""")
+    cast(len(regexp_extract_all(html, '<script type="application/ld.json"')) as int) AS json_ld,
+    replace(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '~', '<') AS title
+  FROM (SELECT page_id, replace(replace(html, '&amp;', '&'), '&lt;', '~') AS html FROM pages)
+  UNION ALL
+  SELECT page_no, cast(count(*) FILTER (id % 2 = 0 AND length(title) > 10 AND length(title) < 200) as int),
+    cast(count(*) FILTER (id % 13 = 0) as int), 'Page ' || page_no FROM v_card GROUP BY page_no""")
 def _(v):
-    rows = profile.profile_headings(raw_pages(v))
-    return rows.select("page_id", "headings", "json_ld", (F.length("title") > 0).alias("has_title"))
+    raw, survey = profile.profile_headings(raw_pages(v)), profile.profile_headings(nodes(v, "survey"))
+    return raw.withColumn("title", F.coalesce("title", F.lit(""))).unionByName(survey)
+
+
+_NONE_FOUND = "'見つかりませんでした|0件|該当する求人|検索結果なし'"
 
 
-@query("flag_no_results", """
-  SELECT page_no AS page_id, bool_or(regexp_matches(title || '</a>' || location || company, '見つかりませんでした|0件|該当する求人|検索結果なし')) AS no_results FROM v_card GROUP BY 1
-  UNION ALL SELECT page_id, regexp_matches(html, '見つかりませんでした|0件|該当する求人|検索結果なし') FROM pages""")
+@query("flag_no_results", f"""
+  SELECT page_no AS page_id, bool_or(regexp_matches(title || '</a>' || location || company, {_NONE_FOUND})) AS no_results FROM v_card GROUP BY 1
+  UNION ALL SELECT page_id, regexp_matches(html, {_NONE_FOUND}) FROM pages
+  UNION ALL SELECT page_no, page_no % 6 < 4 OR bool_or(regexp_matches(CASE WHEN id % 2 = 0 THEN title ELSE '' END || '#' || CASE WHEN id % 3 = 0 THEN company ELSE '' END
+    || '#' || CASE WHEN id % 5 = 0 THEN location ELSE '' END, {_NONE_FOUND})) FROM v_card GROUP BY 1""")
 def _(v):
-    return profile.flag_no_results(nodes(v, "doda")).unionByName(profile.flag_no_results(raw_pages(v)))
+    words = ["tag", "text"]
+    parts = [nodes(v, "doda", words), raw_pages(v, words), nodes(v, "survey", words)]
+    return boards.union_sources([profile.flag_no_results(p) for p in parts])
 
 
 @query("dom_outline", """
@@ -287,7 +314,8 @@ def _(v):
   UNION ALL SELECT page_no, 2, 'article', 'jobCard', count(*) FROM v_card GROUP BY 1
   UNION ALL SELECT page_no, 3, 'div', 'jobCard-body', count(*) FROM v_card GROUP BY 1""")
 def _(v):
-    return profile.dom_outline(nodes(v, "doda")).groupBy("page_id", "depth", "tag", "class").agg(F.count(F.lit(1)).alias("found"))
+    rows = profile.dom_outline(nodes(v, "doda", ["nid", "tag", "attrs", "parent"]))
+    return rows.groupBy("page_id", "depth", "tag", "class").agg(F.count(F.lit(1)).alias("found"))
 
 
 query("dom_outline_pages")(lambda v: profile.dom_outline(raw_pages(v)))

@@ -339,6 +339,37 @@ def _link_card() -> Column:
         ' エントリー</a><p class="company-name">', ("company",), "</p></div>")
 
 
+def _survey_card() -> Column:
+    """One posting in each of the containers, for a part of the postings that differs by container."""
+    key = F.col("id")
+
+    def some(divisor: int, *parts) -> Column:
+        return F.when(key % divisor == 0, _html(*parts))
+
+    return _html(
+        some(2, '<ul><li class="Job row"><h3>', ("title",), "</h3></li></ul>"),
+        some(3, '<div class="result-LIST item">', ("company",), "</div>"),
+        some(5, '<div class="jobCard wide">', ("location",), "</div>"), some(7, '<div class="x searchList">x</div>'),
+        some(11, '<article class="box"><h2>short</h2></article>'),
+        some(13, '<script type="application/ld+json">{"id":', ("id",), '}</script><script type="text/plain">x</script>'))
+
+
+def _survey_tail() -> Column:
+    page = F.col("page_no")
+
+    def some(divisor: int, *parts) -> Column:
+        return F.when(page % divisor == 0, _html(*parts))
+
+    return _html(
+        some(2, '<nav class="Pagination"><a class="btn nextLink" href="/p">x</a></nav>'),
+        some(3, '<ul class="pager"><li>1</li></ul>'), some(4, '<div class="my-pag"></div>'),
+        some(5, '<a rel="nofollow next" href="/x">y</a><a rel="nextish">z</a>'), some(7, '<a href="/list?PAGE=2">2</a>'),
+        "<title> Page ", ("page_no",), " </title>",
+        F.when(page % 6 == 0, "<p>お探しの求人は見つかりませんでした</p>").when(page % 6 == 1, "<p>検索結果 <b>0件</b></p>")
+        .when(page % 6 == 2, "<p>該当する<b>求人</b></p>").when(page % 6 == 3, "<p>検索結果なし</p>")
+        .when(page % 6 == 4, "<!-- 検索結果なし --><p>検索 結果なし</p>"))
+
+
 def _tail(make):
     """Next link on all but every seventh page."""
     def tail() -> Column:
@@ -355,6 +386,7 @@ CARDS = {
         p % 2 == 0, _html('<a data-testid="pagination-page-next" href="/jobs?start=', p + 1, '">&gt;</a>')
     ).otherwise(_html('<nav aria-label="pagination"><a href="#">1</a><a aria-label="次のページ" href="/jobs?start=', p + 1, '">&gt;</a></nav>')))),
     "wantedly_state": (_state_card, _tail(lambda p: F.lit('<a href="/projects">Next</a>'))),
+    "survey": (_survey_card, _survey_tail),
     "wantedly": (_link_card, _tail(lambda p: _html('<a href="/list?page=', p + 1, '">more</a>'))),
 }
 PAGE_FRAMES = {"wantedly_state": (

@@ -18,7 +18,7 @@ from postloom.functions import text as tx
 from postloom.functions.urls import BASE_URL, JOB_ID_PATTERN, job_id, strip_query, url_absolute
 from postloom.schemas import RECORD_COLUMNS
 from postloom.sources import dom
-from postloom.sources.state import state_json, state_projects
+from postloom.sources.state import last_key_wins, state_json, state_projects
 
 # Labels, marks and limits of the card rules.
 PLACE_LABEL, PAY_LABEL = "勤務地", "給与"
@@ -118,9 +118,8 @@ def first_per_key(nodes: Column, key: Callable) -> Column:
 def green_holders(nodes: Column) -> Column:
     """Per distinct job link, the nearest ancestor below body with enough text."""
     def holder(link):
-        above = F.filter(dom.ancestors(nodes, link), lambda n: ~n["tag"].isin("body", "html"))
-        near = F.slice(F.reverse(above), 1, GREEN_CLIMB)
-        return dom.first_node(near, lambda n: n["text_len"] > GREEN_MIN_TEXT)
+        return dom.nearest_within(
+            nodes, link, lambda n: n["text_len"] > GREEN_MIN_TEXT, GREEN_CLIMB, lambda n: n["tag"].isin("body", "html"))
 
     links = tx.bind(_job_links(nodes, "green"), lambda x: first_per_key(x, lambda n: dom.attr(n, "href")))
     return F.filter(F.transform(links, holder), lambda n: n.isNotNull())
@@ -246,10 +245,7 @@ def _state_cards(state: Column) -> Column:
 
 def _html_cards(nodes: Column) -> Column:
     def holder(link):
-        return tx.bind(F.reverse(dom.ancestors(nodes, link)), lambda above: F.coalesce(
-            dom.first_node(above, lambda n: n["tag"] == "div"),
-            dom.first_node(above, lambda n: n["tag"] == "article"),
-        ))
+        return dom.nearest_above(nodes, link, lambda n: n["tag"] == "div", lambda n: n["tag"] == "article")
 
     links = _project_links(nodes, holder, dom.inner_text)
     return _link_cards(links, lambda t: t, lambda href: _absolute(strip_query(href), "wantedly"))
@@ -269,7 +265,7 @@ def cards_wantedly_dom(pages: DataFrame) -> DataFrame:
             css = dom.attr(n, "class")
             return (n["tag"] == "div") & (F.contains(css, F.lit("project")) | F.contains(css, F.lit("card")))
 
-        return dom.first_node(dom.ancestors(nodes, link), boxed)
+        return dom.outermost_above(nodes, link, boxed)
 
     links = _project_links(nodes, holder, lambda b: tx.strip(tx.squeeze(dom.raw_text(b))))
     cards = _link_cards(
@@ -280,12 +276,14 @@ def cards_wantedly_dom(pages: DataFrame) -> DataFrame:
 
 def cards_wantedly_state(pages: DataFrame) -> DataFrame:
     """Records from the state object embedded in a page."""
+    last_key_wins(pages.sparkSession)
     cards = tx.bind(state_json(F.col("nodes")), _state_cards)
     return _wantedly_records(_cards(pages, cards), _page_columns(pages))
 
 
 def cards_wantedly(pages: DataFrame) -> DataFrame:
     """State records where a page has a state, link records elsewhere; pages are parsed once."""
+    last_key_wins(pages.sparkSession)
     nodes = F.col("nodes")
     cards = tx.bind(state_json(nodes), lambda s: F.when(
         F.coalesce(F.size(s["entries"]), F.lit(0)) > 0, _state_cards(s)).otherwise(_html_cards(nodes)))

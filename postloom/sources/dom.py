@@ -23,15 +23,11 @@ from postloom.functions.text import bind, strip
 # executors get the worker code with the plan and need no copy of the package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-NODE_TYPE = (
-    "array<struct<nid:int,size:int,tag:string,attrs:map<string,string>,"
-    "text:string,only:string,text_len:int,parent:int>>"
-)
-_ARROW_NODE = pa.struct([
-    ("nid", pa.int32()), ("size", pa.int32()), ("tag", pa.string()),
-    ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()),
-    ("only", pa.string()), ("text_len", pa.int32()), ("parent", pa.int32()),
-])
+FIELDS = {
+    "nid": "int", "size": "int", "tag": "string", "attrs": "map<string,string>", "text": "string", "only": "string",
+    "text_len": "int", "parent": "int", "depth": "int",
+}
+_ARROW = {"int": pa.int32(), "string": pa.string(), "map<string,string>": pa.map_(pa.string(), pa.string())}
 _ROWS_PER_SLICE = 64
 
 # Kinds of text nodes, void elements and implied end tags of HTML.
@@ -57,6 +53,7 @@ class _Flattener(HTMLParser):
         self.attrs: list[list[tuple[str, str]]] = []
         self.texts: list[str | None] = []
         self.parents: list[int] = []
+        self.depths: list[int] = []
         self.open: list[int] = []
 
     def _add(self, tag: str, attrs: list, text: str | None) -> int:
@@ -64,6 +61,7 @@ class _Flattener(HTMLParser):
         self.attrs.append(attrs)
         self.texts.append(text)
         self.parents.append(self.open[-1] if self.open else -1)
+        self.depths.append(self.depths[self.open[-1]] + 1 if self.open else 0)
         return len(self.tags) - 1
 
     def _close_implied(self, tag: str) -> None:
@@ -143,46 +141,59 @@ def _offsets(lengths) -> pa.Array:
     return pa.array(list(accumulate(lengths, initial=0)), type=pa.int32())
 
 
-def _node_lists(pages: list[_Flattener]) -> pa.Array:
+def _node_lists(pages: list[_Flattener], fields: list[str]) -> pa.Array:
     """One list of node structs per page, put together column by column."""
     flat = lambda rows: list(chain.from_iterable(rows))
-    totals = [p.totals() for p in pages]
-    attrs = flat(p.attrs for p in pages)
-    pairs = flat(attrs)
-    columns = [
-        pa.array(flat(range(len(p.tags)) for p in pages), pa.int32()),
-        pa.array(flat(t[0] for t in totals), pa.int32()),
-        pa.array(flat(p.tags for p in pages), pa.string()),
-        pa.MapArray.from_arrays(
+    totals = [p.totals() for p in pages] if {"size", "only", "text_len"} & set(fields) else []
+
+    def attributes():
+        attrs = flat(p.attrs for p in pages)
+        pairs = flat(attrs)
+        return pa.MapArray.from_arrays(
             _offsets(map(len, attrs)),
             pa.array([k for k, _ in pairs], pa.string()), pa.array([v for _, v in pairs], pa.string()),
-        ),
-        pa.array(flat(p.texts for p in pages), pa.string()),
-        pa.array(flat(t[1] for t in totals), pa.string()),
-        pa.array(flat(t[2] for t in totals), pa.int32()),
-        pa.array(flat(p.parents for p in pages), pa.int32()),
-    ]
-    nodes = pa.StructArray.from_arrays(columns, fields=list(_ARROW_NODE))
+        )
+
+    makers = {
+        "nid": lambda: flat(range(len(p.tags)) for p in pages),
+        "size": lambda: flat(t[0] for t in totals),
+        "tag": lambda: flat(p.tags for p in pages),
+        "attrs": attributes,
+        "text": lambda: flat(p.texts for p in pages),
+        "only": lambda: flat(t[1] for t in totals),
+        "text_len": lambda: flat(t[2] for t in totals),
+        "parent": lambda: flat(p.parents for p in pages),
+        "depth": lambda: flat(p.depths for p in pages),
+    }
+    kinds = [_ARROW[FIELDS[f]] for f in fields]
+    made = [makers[f]() for f in fields]
+    columns = [m if isinstance(m, pa.Array) else pa.array(m, kind) for m, kind in zip(made, kinds)]
+    nodes = pa.StructArray.from_arrays(columns, fields=[pa.field(f, kind) for f, kind in zip(fields, kinds)])
     return pa.ListArray.from_arrays(_offsets(len(p.tags) for p in pages), nodes)
 
 
-def _flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for start in range(0, batch.num_rows, _ROWS_PER_SLICE):
-            part = batch.slice(start, _ROWS_PER_SLICE)
-            html = part.column(part.schema.get_field_index("html")).to_pylist()
-            nodes = _node_lists([_page(page) for page in html])
-            keep = [i for i, name in enumerate(part.schema.names) if name != "html"]
-            yield pa.RecordBatch.from_arrays(
-                [part.column(i) for i in keep] + [nodes],
-                names=[part.schema.names[i] for i in keep] + ["nodes"],
-            )
+def _flattener(fields: list[str]):
+    def flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, _ROWS_PER_SLICE):
+                part = batch.slice(start, _ROWS_PER_SLICE)
+                html = part.column(part.schema.get_field_index("html")).to_pylist()
+                nodes = _node_lists([_page(page) for page in html], fields)
+                keep = [i for i, name in enumerate(part.schema.names) if name != "html"]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(i) for i in keep] + [nodes],
+                    names=[part.schema.names[i] for i in keep] + ["nodes"],
+                )
+
+    return flatten
 
 
-def with_nodes(pages: DataFrame) -> DataFrame:
-    """Replace the ``html`` column by ``nodes``."""
+def with_nodes(pages: DataFrame, fields: list[str] | None = None) -> DataFrame:
+    """Replace the ``html`` column by ``nodes``, with all FIELDS or those wanted."""
+    fields = list(fields or FIELDS)
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema if f.name != "html"]
-    return pages.mapInArrow(_flatten, ", ".join([*kept, f"nodes {NODE_TYPE}"]))
+    node = ",".join(f"{f}:{FIELDS[f]}" for f in fields)
+    return pages.mapInArrow(_flattener(fields), ", ".join([*kept, f"nodes array<struct<{node}>>"]))
 
 
 def subtree(nodes: Column, node: Column) -> Column:
@@ -212,10 +223,47 @@ def first_node(nodes: Column, rule) -> Column:
     return F.get(F.filter(nodes, rule), 0)
 
 
-def ancestors(nodes: Column, node: Column) -> Column:
-    """Elements of a whole page that hold ``node``, from the root down."""
-    before = F.slice(nodes, F.lit(1), node["nid"])
-    return F.filter(before, lambda n: n["nid"] + n["size"] > node["nid"])
+def _climb(nodes: Column, node: Column, start: Column, step) -> Column:
+    """Go from a node of a whole page to the root by way of the parents, one step per level.
+
+    ``step(at, n, state)`` gives the state after meeting ancestor ``n``, whose number is ``at``.
+    """
+    levels = F.when(node["depth"] > 0, F.sequence(F.lit(1), node["depth"])).otherwise(F.array().cast("array<int>"))
+    begin = F.struct(node["parent"].alias("at"), start.alias("state"))
+
+    def up(x, _):
+        n = F.get(nodes, x["at"])
+        return F.struct(n["parent"].alias("at"), step(x["at"], n, x["state"]).alias("state"))
+
+    return F.aggregate(levels, begin, up, lambda x: x["state"])
+
+
+def _held(nodes: Column, found: Column) -> Column:
+    return F.when(found >= 0, F.get(nodes, found))
+
+
+def nearest_above(nodes: Column, node: Column, *rules) -> Column:
+    """The nearest ancestor that the first of the rules to hold for any ancestor holds for; null without one."""
+    def find(rule):
+        return _held(nodes, _climb(
+            nodes, node, F.lit(-1), lambda at, n, found: F.when(found >= 0, found).when(rule(n), at).otherwise(found)))
+
+    return F.coalesce(*[find(rule) for rule in rules])
+
+
+def outermost_above(nodes: Column, node: Column, rule) -> Column:
+    return _held(nodes, _climb(nodes, node, F.lit(-1), lambda at, n, found: F.when(rule(n), at).otherwise(found)))
+
+
+def nearest_within(nodes: Column, node: Column, rule, steps: int, skip) -> Column:
+    """The nearest of the first ``steps`` ancestors that the rule holds for; those ``skip`` holds for do not count."""
+    start = F.struct(F.lit(-1).alias("found"), F.lit(steps).alias("left"))
+
+    def step(at, n, s):
+        met = F.struct(F.when(rule(n), at).otherwise(F.lit(-1)).alias("found"), (s["left"] - 1).alias("left"))
+        return F.when((s["found"] >= 0) | (s["left"] == 0) | skip(n), s).otherwise(met)
+
+    return _held(nodes, _climb(nodes, node, start, step)["found"])
 
 
 def text_pieces(nodes: Column) -> Column:

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -36,6 +38,48 @@ def test_green_climbs_to_enough_text_and_shares_ancestors(spark):
     assert [r["job_id"] for r in got] == ["1", "1"]
 
 
+def test_ancestors_by_climbing(spark):
+    html = '<body class="a"><div class="a b"><div class="c">' + "<p>" * 1 + '<span class="a">' + '<a href="x">t</a></span></p></div></div></body>'
+    n = F.col("nodes")
+    link = dom.first_node(n, lambda x: x["tag"] == "a")
+    css = lambda name: (lambda x: dom.has_class(x, name))
+    rows = pages(spark, html, "<a>top</a>", "none").select(
+        dom.nearest_above(n, link, css("a"))["tag"].alias("near"), dom.outermost_above(n, link, css("a"))["tag"].alias("far"),
+        dom.nearest_above(n, link, css("zz"), css("b"))["depth"].alias("second"),
+        *[dom.nearest_within(n, link, css("b"), k, lambda x: x["tag"] == "p")["tag"].alias(f"w{k}") for k in (2, 3)]).collect()
+    assert [tuple(r) for r in rows] == [("span", "body", 1, None, "div"), (None,) * 5, (None,) * 5]
+
+
+def test_links_cost_in_proportion(spark):
+    """Twice the links on a page, at most 2.2 times the time."""
+    def seconds(links):
+        cards = "".join(f'<div class="c"><p>{"x" * 101}</p><div><a href="/job/{i}">t</a></div></div>' for i in range(links))
+        rows = boards.cards_green(pages(spark, f"<html><body><div>{cards}</div></body></html>"))
+        best = 1e9
+        for _ in range(3):
+            start = time.time()
+            assert len(rows.select("job_id").collect()) == links
+            best = min(best, time.time() - start)
+        return best
+
+    seconds(200)
+    assert seconds(4000) < 2.2 * seconds(2000) + 0.3
+
+
+def test_only_wanted_fields(spark):
+    frame = spark.createDataFrame([(1, '<p class="x">t</p>')], "page_id long, html string")
+    assert dom.with_nodes(frame, ["tag", "text"]).first()["nodes"][1].asDict() == {"tag": "#text", "text": "t"}
+    assert set(dom.with_nodes(frame).first()["nodes"][0].asDict()) == set(dom.FIELDS)
+
+
+def test_last_value_of_a_repeated_key_counts(spark):
+    state = ('{"Project:1":{"id":1,"title":"old","title":"new"},"Project:2":{"id":2,"title":"gone"},"Company:9":{"name":"a"},'
+             '"Project:2":{"id":2,"title":"kept","company":{"id":"8","id":"9"}},"Company:9":{"name":"b"}}')
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "false")  # as in a session of the caller's own
+    rows = records(spark, boards.cards_wantedly, f"<script>window.__APOLLO_STATE__ = {state};</script>")
+    assert [(r["job_id"], r["title"], r["company"]) for r in rows] == [("1", "new", ""), ("2", "kept", "b")]
+
+
 def test_green_fields(spark):
     page = ('<html><body><div><p>New</p><p>株式会社テスト</p><a href="/job/77?x=1">シニアエンジニアを広く募集しています</a>'
             '<p>東京都 港区</p><p>400万円〜600万円</p><p>' + "あ" * 90 + '</p></div></body></html>')
