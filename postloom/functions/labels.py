@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Widths of the listing's columns.
+TITLE_WIDTH, COMPANY_WIDTH, LOCATION_WIDTH = 60, 30, 20
+
 
 def iso_ts(c: Column) -> Column:
     """ISO text; the fraction shows only when there is one."""

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postloom.functions.criteria import json_list_coerce
 from postloom.functions.text import norm_match
 
 # Points for title keywords, description keywords, place, salary.
@@ -37,6 +38,16 @@ def latest_criteria(criteria: DataFrame) -> DataFrame:
     return criteria.groupBy(F.col("user_id").alias("_user")).agg(row.alias("r")).select("r.*")
 
 
+def stored_criteria(criteria: DataFrame) -> DataFrame:
+    """Criteria rows whose lists are stored as JSON text (keywords_json, locations_json), with the lists read.
+
+    A bare string counts as a list of one, anything else that is no list as none.
+    """
+    return criteria.withColumns({
+        "keywords": json_list_coerce(F.col("keywords_json")), "locations": json_list_coerce(F.col("locations_json")),
+    }).drop("keywords_json", "locations_json")
+
+
 def prepare_criteria(criteria: DataFrame) -> DataFrame:
     """Add the normalised lists; blank keywords stay, as they count in the ratio."""
     return criteria.withColumns({

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ERROR_WIDTH = 45
@@ -60,12 +60,26 @@ def agg_run_rollup(runs: DataFrame) -> DataFrame:
         *[F.sum(c).alias(c) for c in ("jobs_scraped", "jobs_added", "duplicates", "errors")])
 
 
+def one_decimal(c: Column) -> Column:
+    """A number that is not negative with one decimal, rounded by its exact binary value, a tie to the even digit."""
+    a, b = c * 8, c * 2  # both exact; what their sum loses decides where it looks like a tie
+    tenths = a + b
+    second = tenths - a
+    lost = (a - (tenths - second)) + (b - second)
+    low = F.floor(tenths)
+    whole = (
+        F.when((tenths - low != 0.5) | (lost == 0), F.rint(tenths).cast("bigint"))
+        .when(lost > 0, low + 1).otherwise(low)
+    )
+    return F.concat(F.floor(whole / 10).cast("string"), F.lit("."), (whole % 10).cast("string"))
+
+
 def agg_run_report(runs: DataFrame) -> DataFrame:
     """Report lines by source; long error messages are cut for display."""
     return runs.orderBy("name", "duration_seconds", "jobs_scraped").select(
         "name", F.when(F.col("success"), "✓").otherwise("✗").alias("status"),
         "jobs_scraped", "jobs_added", "duplicates",
-        F.format_string("%.1fs", "duration_seconds").alias("time"),
+        F.concat(one_decimal(F.col("duration_seconds")), F.lit("s")).alias("time"),
         F.concat(F.left("error_message", F.lit(ERROR_WIDTH)), F.lit("...")).alias("error"),
     )
 

@@ -63,7 +63,9 @@ def user_add(users: DataFrame, wanted: DataFrame, base_url: str = DEFAULT_BASE_U
 
     An email already stored is not added again.  Of several equal emails in one
     batch the name smallest by the column ``order`` counts, without one the
-    alphabetically smallest.  An empty criteria row goes with every user.
+    alphabetically smallest.  The rows are written, so a drawn token stays the
+    same however often they are read.  ``users_with_criteria`` adds the empty
+    criteria rows that go with new users.
     """
     name = F.min("name") if order is None else F.min_by("name", order)
     fresh = wanted.groupBy("email").agg(name.alias("name")).join(
@@ -71,13 +73,23 @@ def user_add(users: DataFrame, wanted: DataFrame, base_url: str = DEFAULT_BASE_U
     top = users.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"]
     rows = numbered(fresh, "email", int(top) + 1)
     token = random_token() if salt is None else stable_token(F.col("id"), salt)
-    rows = rows.withColumn("access_token", token)
+    rows = written(rows.withColumn("access_token", token), "users-added")
     return rows.select(
         "id", "name", "email", "access_token",
         F.concat(F.lit(base_url + "/u/"), F.col("access_token")).alias("url"),
     )
 
 
+def users_with_criteria(
+    users: DataFrame, criteria: DataFrame, wanted: DataFrame, as_of, base_url: str = DEFAULT_BASE_URL,
+    salt: str | None = None, order: str | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """(new users as by ``user_add``, an empty criteria row for each, numbered on in order of their ids)."""
+    added = user_add(users, wanted, base_url, salt, order)
+    top = criteria.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"]
+    return added, numbered(empty_criteria(added, as_of), "user_id", int(top) + 1)
+
+
 def empty_criteria(added: DataFrame, as_of) -> DataFrame:
     at = F.lit(as_of).cast("timestamp_ntz")
     return added.select(

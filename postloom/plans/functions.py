@@ -275,14 +275,16 @@ def _(v):
 
 
 @query("truncate_label", """
-  SELECT id, CASE WHEN length(description) > 60 THEN left(description, 60) || '...' ELSE description END AS title,
-    CASE WHEN length(title) > 15 THEN left(title, 15) || '...' ELSE title END AS company,
-    CASE WHEN id % 9 = 0 THEN '-' WHEN length(location) > 7 THEN left(location, 7) || '...' ELSE location END AS location FROM v_jobs""")
+  SELECT id, CASE WHEN length(t) > 60 THEN left(t, 60) || '...' ELSE t END AS title,
+    CASE WHEN length(f) > 30 THEN left(f, 30) || '...' ELSE f END AS company,
+    CASE WHEN id % 9 = 0 THEN '-' WHEN length(l) > 20 THEN left(l, 20) || '...' ELSE l END AS location
+  FROM (SELECT id, title || ' ' || description AS t, company || ' ' || title AS f, location || ' ' || left(title, id % 20) AS l FROM v_jobs)""")
 def _(v):
-    place = F.when(c("id") % 9 != 0, c("location"))
-    return v.v_jobs.select("id", lb.truncate_label(c("description"), 60).alias("title"),
-                           lb.truncate_label(c("title"), 15).alias("company"),
-                           lb.truncate_label(place, 7, "-").alias("location"))
+    """Long titles, companies and places at the widths of the listing."""
+    place = F.concat_ws(" ", "location", F.left("title", (c("id") % 20).cast("int")))
+    return v.v_jobs.select("id", lb.truncate_label(F.concat_ws(" ", "title", "description"), lb.TITLE_WIDTH).alias("title"),
+                           lb.truncate_label(F.concat_ws(" ", "company", "title"), lb.COMPANY_WIDTH).alias("company"),
+                           lb.truncate_label(F.when(c("id") % 9 != 0, place), lb.LOCATION_WIDTH, "-").alias("location"))
 
 
 @query("list_join_label", """

@@ -206,19 +206,9 @@ def _(v):
 @query("stream_last_seen", f"""
   WITH {SQL_USABLE} SELECT fp AS fingerprint, max(seq.l_shipdate) AS last_seen_at FROM usable GROUP BY 1""")
 def _(v):
-    usable = v.v_posts.where("title IS NOT NULL").select("title", "company", "job_board", c("seq.l_shipdate").alias("seen_at"))
     folder, out = new_folder(v.spark, "landed"), new_folder(v.spark, "last-seen")
-    usable.write.parquet(folder)
-    latest = streams.stream_last_seen(streams.landed(v.spark, folder, usable.schema, 4))
-
-    def keep(batch, batch_id):
-        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-
-    run = (
-        latest.writeStream.outputMode("update").foreachBatch(keep)
-        .option("checkpointLocation", new_folder(v.spark, "offsets")).trigger(availableNow=True).start()
-    )
-    run.awaitTermination()
-    # every batch holds the keys it changed; the latest value of a key is the greatest
-    return v.spark.read.schema(latest.schema).parquet(f"{out}/*").groupBy("fingerprint").agg(
-        F.max("last_seen_at").alias("last_seen_at"))
+    v.v_posts.write.parquet(folder)
+    records = streams.landed(v.spark, folder, v.v_posts.schema, 4, arrived="arrived")
+    usable = ingest.split_rejects(records)[0].withColumn("seen_at", c("seq.l_shipdate"))
+    streams.write_last_seen(streams.stream_last_seen(usable), out, new_folder(v.spark, "offsets")).awaitTermination()
+    return streams.read_last_seen(v.spark, out)

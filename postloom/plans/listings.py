@@ -121,6 +121,14 @@ def _(v):
     return browse.jobs_browse(v.v_jobs, 2, board="5-LOW", location="nation_2", active="true", search="ring")[0].select(*LIST)
 
 
+@query("jobs_browse_totals", """
+  WITH f AS (SELECT * FROM v_jobs WHERE job_board = '5-LOW' AND location ILIKE '%nation_2%' AND is_active AND (title ILIKE '%ring%' OR company ILIKE '%ring%'))
+  SELECT cast(2 as int) AS page, cast(20 as int) AS per_page, count(*) AS total, (count(*) + 19) // 20 AS total_pages, cast(21 as int) AS first_row,
+    least(40, count(*)) AS last_row FROM f""")
+def _(v):
+    return browse.jobs_browse(v.v_jobs, 2, board="5-LOW", location="nation_2", active="true", search="ring")[1]
+
+
 @query("distinct_boards", "SELECT DISTINCT job_board FROM v_jobs")
 def _(v):
     return browse.distinct_boards(v.v_jobs)
@@ -173,9 +181,9 @@ def _(v):
 
 @query("agg_run_report", """
   SELECT name, CASE WHEN success THEN '✓' ELSE '✗' END AS status, jobs_scraped, jobs_added, duplicates,
-    left(error_message, 45) || '...' AS error FROM v_runs ORDER BY name, duration_seconds, jobs_scraped""")
+    format('{:.1f}s', duration_seconds) AS time, left(error_message, 45) || '...' AS error FROM v_runs ORDER BY name, duration_seconds, jobs_scraped""")
 def _(v):
-    return stats.agg_run_report(v.v_runs).drop("time")
+    return stats.agg_run_report(v.v_runs)
 
 
 @query("agg_user_child_counts", """
@@ -222,3 +230,15 @@ def _(v):
         F.concat(F.lower("s_name"), F.lit("@example.com")).alias("email"), c("s_name").alias("name"))
     wanted = suppliers.unionByName(v.v_users.select("email", "name"))
     return users.user_add(v.v_users, wanted, salt="s-")
+
+
+@query("user_add_criteria", """
+  WITH n AS (SELECT DISTINCT lower(s_name) || '@example.com' AS email FROM supplier WHERE lower(s_name) || '@example.com' NOT IN (SELECT email FROM v_users)),
+  i AS (SELECT row_number() OVER (ORDER BY email) AS n FROM n)
+  SELECT (SELECT max(id) FROM v_criteria) + n AS id, (SELECT max(id) FROM v_users) + n AS user_id, NULL::varchar AS keywords, NULL::varchar AS locations,
+    NULL::bigint AS min_salary, NULL::bigint AS max_salary, NULL::boolean AS remote_preference, TIMESTAMP '2002-01-01' AS created_at,
+    TIMESTAMP '2002-01-01' AS updated_at FROM i""")
+def _(v):
+    wanted = v.table("supplier").select(F.concat(F.lower("s_name"), F.lit("@example.com")).alias("email"), c("s_name").alias("name"))
+    _, rows = users.users_with_criteria(v.v_users, v.v_criteria, wanted, "2002-01-01 00:00:00", salt="s-")
+    return rows.withColumns({n: F.array_join(n, "|") for n in ("keywords", "locations")})

@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from postloom import schemas
 from postloom.operators import ingest, lifecycle
 from postloom.plans.registry import query
 from postloom.plans.views import sql_fingerprint
@@ -20,14 +19,15 @@ def _(v):
     return v.spark.read.parquet(folder).select("page_id", "url", F.md5("html").alias("digest"))
 
 
-@query("src_html_files", "SELECT page_id, md5(html) AS digest FROM pages")
+@query("src_html_files", "SELECT md5(html) AS digest, count(*) AS found, count(DISTINCT page_id) AS files FROM pages GROUP BY 1")
 def _(v):
+    """Pages saved one to a file, in one folder."""
     folder = new_folder(v.spark, "saved")
-    v.table("pages").select("page_id", c("html").alias("value")).write.partitionBy("page_id").text(folder)
+    v.table("pages").select(c("html").alias("value")).write.option("maxRecordsPerFile", 1).text(folder)
     saved = tables.src_html_files(v.spark, folder)
-    page = F.regexp_extract("url", r"page_id=(\d+)/", 1).cast("bigint")
     # the writer ends every file with a line break
-    return saved.select(page.alias("page_id"), F.md5(F.substring("html", F.lit(1), F.length("html") - 1)).alias("digest"))
+    digest = F.md5(F.substring("html", F.lit(1), F.length("html") - 1))
+    return saved.groupBy(digest.alias("digest")).agg(F.count(F.lit(1)).alias("found"), F.count_distinct("url").alias("files"))
 
 
 @query("src_tables", """
@@ -55,12 +55,17 @@ def _(v):
 
 
 @query("src_settings", """
-  SELECT source, enabled, array_to_string(keywords, '|') AS keywords, has_location, location, cast(max_pages as int) AS max_pages FROM v_settings""")
+  SELECT source, enabled, array_to_string(keywords, '|') AS keywords, has_location, location, cast(max_pages as int) AS max_pages FROM v_settings
+  UNION ALL SELECT unnest(['doda', 'green', 'indeed']), true, NULL, false, NULL, NULL""")
 def _(v):
+    """Settings files of many lines with up to some hundred sources each; where there is no file, the defaults."""
     folder = new_folder(v.spark, "settings")
-    text = F.concat(F.lit('{"global":{"max_pages":2},"scrapers":{"'), "source", F.lit('":'), "settings", F.lit("}}"))
-    v.v_settings.select(text.alias("value")).write.text(folder)
-    rows = v.spark.read.schema(schemas.SETTINGS).json(folder).select(F.explode("scrapers").alias("source", "own"))
+    one = F.concat(F.lit('    "'), "source", F.lit('": '), "settings")
+    whole = F.concat(F.lit('{\n  "global": {"max_pages": 2},\n  "scrapers": {\n'), F.array_join(F.collect_list(one), ",\n"), F.lit("\n  }\n}"))
+    # one row and one file per group
+    v.v_settings.groupBy(F.floor(c("key") / 200).alias("part")).agg(whole.alias("value")).repartition("part").write.partitionBy("part").text(folder)
+    found = tables.src_settings(v.spark, f"{folder}/*")
+    rows = found.unionByName(tables.src_settings(v.spark, f"{folder}/missing")).select(F.explode("scrapers").alias("source", "own"))
 
     def field(name, kind):
         return F.try_variant_get(c("own")[name], "$", kind)

@@ -40,7 +40,10 @@ def frontier_doda(keywords: Column, location: Column) -> Column:
 
 
 def frontier_green(keywords: Column, location: Column) -> Column:
-    return F.concat(F.lit(SEARCH_URL["green"] + "?keyword="), form_encode(_terms(keywords, location)))
+    """The place follows the words behind a space, also where there are no words."""
+    place = F.concat(F.lit(" "), F.nullif(location, F.lit("")))
+    return F.concat(
+        F.lit(SEARCH_URL["green"] + "?keyword="), form_encode(F.concat(_terms(keywords), F.coalesce(place, F.lit("")))))
 
 
 def frontier_indeed(keywords: Column, location: Column) -> Column:

@@ -1,3 +1,4 @@
+import os
 import random
 
 import pytest
@@ -245,3 +246,26 @@ def test_repeated_steps_give_the_same_table(spark, tmp_path, monkeypatch):
     assert state() == twice and store.folded(spark, folder) == (1, 32, 10)
     store.fold(spark, folder, jobs.schema, 1)
     assert state() == twice
+
+
+def test_state_of_last_sightings_follows_the_keys_that_come_in(spark, tmp_path):
+    landing, out = tmp_path / "landing", str(tmp_path / "seen")
+    schema = "seq long, title string, company string, url string, job_board string, seen_at timestamp_ntz"
+    day, want, sizes = 86_400, {}, []
+    for step in range(6):  # a file every ten days, each with 50 postings of its own and one of all
+        rows = [(i, f"T{step}-{i}", "C", "u", "b", f"2024-01-0{step + 1} 00:00:00") for i in range(50)]
+        rows.append((99, "always", "C", "u", "b", f"2024-02-0{6 - step} 00:00:00"))
+        frame = spark.createDataFrame(rows, schema.replace("timestamp_ntz", "string"))
+        frame = frame.withColumn("seen_at", F.col("seen_at").cast("timestamp_ntz"))
+        before = set(landing.rglob("*.parquet")) if landing.exists() else set()
+        frame.coalesce(1).write.mode("append").parquet(str(landing))
+        for f in set(landing.rglob("*.parquet")) - before:
+            os.utime(f, (1_700_000_000 + step * 10 * day,) * 2)
+        for r in ingest.with_fingerprint(frame).collect():
+            want[r["fingerprint"]] = max(want.get(r["fingerprint"], r["seen_at"]), r["seen_at"])
+        records = streams.landed(spark, str(landing), schema, arrived="arrived")
+        run = streams.write_last_seen(streams.stream_last_seen(records), out, str(tmp_path / "offsets"))
+        run.awaitTermination()
+        sizes.append(run.lastProgress["stateOperators"][0]["numRowsTotal"])
+    assert max(sizes) <= 3 * 51 < len(want) == 301  # what came in within three periods, not all there ever were
+    assert {r["fingerprint"]: r["last_seen_at"] for r in streams.read_last_seen(spark, out).collect()} == want

@@ -1,4 +1,7 @@
 import datetime as dt
+import os
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -155,3 +158,34 @@ def test_first_name_by_order(spark):
     wanted = spark.createDataFrame([("b", "e@x", 1), ("a", "e@x", 2)], "name string, email string, at int")
     assert users.user_add(known, wanted, salt="s", order="at").first()["name"] == "b"
     assert users.user_add(known, wanted, salt="s").first()["name"] == "a"
+
+
+def test_one_decimal_is_rounded_by_the_exact_value(spark):
+    values = [0.0, 0.25, 0.35, 0.75, 0.15, 0.05, 1.45, 2.5, 9.95, 99.95, 0.049999, 12.25, 1e6 + 0.15, 1234.85, 0.45, 7.0]
+    rows = spark.createDataFrame([(v,) for v in values], "v double")
+    assert [r["t"] for r in rows.select(stats.one_decimal(F.col("v")).alias("t")).collect()] == [f"{v:.1f}" for v in values]
+
+
+def test_new_users_come_with_criteria(spark):
+    have = spark.createDataFrame([(4, "a", "a@x", "t")], "id long, name string, email string, access_token string")
+    wanted = spark.createDataFrame([("b", "b@x"), ("a", "a@x"), ("c", "c@x")], "name string, email string")
+    criteria = spark.createDataFrame([(9, 4)], "id long, user_id long")
+    added, rows = users.users_with_criteria(have, criteria, wanted, "2024-01-01")
+    assert [(r["id"], r["user_id"], r["keywords"]) for r in rows.orderBy("id").collect()] == [(10, 5, None), (11, 6, None)]
+    first, second = ({r["email"]: r["access_token"] for r in added.collect()} for _ in range(2))
+    assert first == second and set(first) == {"b@x", "c@x"}  # drawn once, read twice
+
+
+def test_green_search_keeps_the_space_before_a_place(spark):
+    rows = spark.createDataFrame([(["a b"], "東京"), ([], "x"), (["a"], ""), ([], None)], "k array<string>, l string")
+    got = [r["u"].split("keyword=")[1] for r in rows.select(frontier.frontier_green(F.col("k"), F.col("l")).alias("u")).collect()]
+    assert got == ["a+b+%E6%9D%B1%E4%BA%AC", "+x", "a", ""]
+
+
+def test_entry_without_an_optional_package():
+    """Without a package that only the training-data operators need, the posting queries are still there."""
+    code = "import sys; sys.modules['xxhash'] = sys.modules['ahocorasick'] = None; import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
+    found, sql = map(int, out.stdout.split())
+    assert found > 140 and sql == found - 1
