@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from postloom.llm import bpe, exact_dedup, language, line_dedup, mixing, sharding, simhash, token_counts
+from postloom.llm import bpe, exact_dedup, language, line_dedup, mixing, queries, sharding, simhash, token_counts
 from postloom.llm.components import components
 from tests.llm.conftest import rows
 
@@ -51,6 +51,28 @@ def test_buckets_are_bounded_and_shuffled(spark):
     assert len(sizes) > 8 and max(sizes) < 2.5 * np.mean(sizes)
     numbers = [int(r.row.text[1:]) for r in got.orderBy("bucket", "pos").limit(300).collect()]
     assert numbers != sorted(numbers)
+    again = spark.read.parquet(sharding.write_shards(table, shards=3, bucket_bytes=4000))
+    order = ["bucket", "pos", "row.text"]
+    assert [tuple(r) for r in again.select(*order).orderBy(*order).collect()] == [tuple(r) for r in got.select(*order).orderBy(*order).collect()]
+
+
+def test_query_of_shards(spark):
+    """All columns of the query, by their definition; the shard by highest draw, so one more takes rows only into itself."""
+    folder = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    got = queries.QUERIES["op1_sharding"](spark, folder).collect()
+    assert sorted(r.doc_id for r in got) == sorted(docs)
+    for r in got:
+        data = docs[r.doc_id].encode()
+        assert (r["size"], r.text_crc32, r.law) == (len(data) + 8, zlib.crc32(data), "key") and 0 <= r.shard < 24
+        assert r.grown_shard in (r.shard, 24)
+    assert any(r.grown_shard == 24 for r in got)
+    for shard in range(24):
+        slots = sorted(r.slot for r in got if r.shard == shard)
+        assert slots == list(range(len(slots)))
+    by_id = {r.doc_id: r.shard for r in got}
+    fewer = spark.createDataFrame([(i,) for i in docs], "i long").select("i", sharding.shard_of(F.col("i"), 24, 42).alias("s")).collect()
+    assert by_id == {r.i: r.s for r in fewer}
 
 
 def brute_lines(rows_):
@@ -76,6 +98,18 @@ def test_line_dedup(docs, batches, fan):
     assert Counter((r.id, r.n_lines, r.n_dropped, r.text) for r in got) == brute_lines(rows())
 
 
+def test_largest_id_and_rows_that_share_an_id(spark):
+    most, line = (1 << 63) - 1, "a line that many share"
+    rows_ = [(most, line), (None, line), (None, f"{line}\nown"), (None, "x" * 20), (5, "seen first\nx"), (5, f"SEEN FIRST \n{line}")]
+    rows_ += [(None, f"{i} is a line of its own\n{line}\nseen first") for i in range(60)]
+    table = spark.createDataFrame(rows_, "doc_id long, text string").repartition(3)
+    got = Counter((r.id, r.n_dropped, r.text) for r in line_dedup.dedup_lines(table, buckets=2).collect())
+    want = [(most, 1, ""), (None, 1, ""), (None, 1, "own"), (None, 0, "x" * 20), (5, 0, "seen first\nx"), (5, 0, f"SEEN FIRST \n{line}")]
+    assert got == Counter(want + [(None, 2, f"{i} is a line of its own") for i in range(60)])
+    assert Counter(r.id for r in line_dedup.dedup_lines(table.where("doc_id IS NULL")).collect()) == {None: 63}
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
+
+
 def test_line_runs_compact(spark):
     runs = line_dedup.LineRuns(spark, buckets=2, fan=2)
     for b in range(5):
