@@ -8,12 +8,16 @@ next level, so a batch meets at most ``fan`` - 1 runs per level.  A line stays
 where its document owns it; all other occurrences go.
 
 All joins are on hashes plus, at the end, the document, so a line that is in
-every document skews nothing: it is one row per run and one per document.
+every document skews nothing: it is one row per run and one per document.  That
+last join leaves the buckets of the runs for that reason; it is one join, of all
+runs together.  What goes is gathered per row of the input, known by its id and
+two hashes of its text, so an id on very many rows gathers nothing.
 """
 
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -24,8 +28,9 @@ from pyspark.sql import types as T
 from postloom.llm.common import SPACES, lower_ascii, or_empty
 from postloom.session import new_folder, written
 
-NO_ID = (1 << 63) - 1  # rows without id count as one last document
 HASH = ["h1", "h2"]
+OWNER = ["none", "id"]  # rows without id (none) count as one last document
+ROW = [*OWNER, "t1", "t2"]
 
 
 def line_key(line: Column) -> Column:
@@ -44,8 +49,10 @@ class LineRuns:
         return [self.spark.table(name) for level in self.levels for name in level]
 
     def add(self, keys: DataFrame) -> None:
-        """Take in a batch of (h1, h2, id); its ids must not be below earlier ones."""
-        fresh = keys.groupBy(*HASH).agg(F.min("id").alias("owner"))
+        """Take in a batch of (h1, h2, id) and, where ids may be missing, none; its ids must not be below earlier ones."""
+        if "none" not in keys.columns:
+            keys = keys.withColumn("none", F.lit(False))
+        fresh = keys.groupBy(*HASH).agg(F.min(F.struct(*OWNER)).alias("owner"))
         for run in self.tables():
             fresh = fresh.join(run, HASH, "left_anti")
         self._put(0, fresh)
@@ -106,31 +113,35 @@ def dedup_lines(
     does not depend on their number.  An empty table gives no rows.
     """
     spark = docs.sparkSession
-    ident = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
-    base = docs.select(ident.alias("id"), or_empty(F.col(text_col)).alias("text"))
+    ident = F.col(id_col).cast("long")
+    base = docs.select(
+        ident.isNull().alias("none"), F.coalesce(ident, F.lit(0)).alias("id"), or_empty(F.col(text_col)).alias("text"),
+    ).withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit("second"), "text")})
     key_hash = lambda k: F.when(F.length(k) >= min_chars, F.xxhash64(k)).otherwise(F.lit(0).cast("long"))
     keys_of = F.transform(F.split("text", "\n"), line_key)  # in an array, so that each key is made once
 
-    cuts = base.agg(F.percentile_approx("id", [i / batches for i in range(1, batches)]).alias("c")).first()["c"] or []
-    batch = sum([(F.col("id") > c).cast("int") for c in sorted(set(cuts))], F.lit(0))
-    hashed = base.select("id", F.explode(keys_of).alias("key")).where(F.length("key") >= min_chars).select(
-        batch.alias("batch"), "id", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2")
+    some = F.when(~F.col("none"), F.col("id"))
+    cuts = sorted(set(base.agg(F.percentile_approx(some, [i / batches for i in range(1, batches)]).alias("c")).first()["c"] or []))
+    batch = F.when(F.col("none"), len(cuts)).otherwise(sum([(F.col("id") > c).cast("int") for c in cuts], F.lit(0)))
+    hashed = base.select(*ROW, F.explode(keys_of).alias("key")).where(F.length("key") >= min_chars).select(
+        batch.alias("batch"), *ROW, F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2")
     )
     keys = written(hashed, "line-keys")
     runs = LineRuns(spark, buckets, fan)
-    for b in range(len(set(cuts)) + 1):
-        runs.add(keys.where(F.col("batch") == b).select(*HASH, "id"))
-    gone = keys.select("id", *HASH)
-    for run in runs.tables():
-        gone = gone.join(run.withColumnRenamed("owner", "id"), ["id", *HASH], "left_anti")
-    gone = written(gone.groupBy("id").agg(F.collect_set("h1").alias("gone")), "lines-gone")
-    runs.close()
-
-    cleaned = base.join(gone, "id", "left")
+    try:
+        for b in range(len(cuts) + 1):
+            runs.add(keys.where(F.col("batch") == b).select(*HASH, *OWNER))
+        owned = [run.select("owner.*", *HASH) for run in runs.tables()]
+        gone = keys.select(*ROW, *HASH).join(reduce(DataFrame.unionByName, owned), [*OWNER, *HASH], "left_anti")
+        gone = written(gone.groupBy(*ROW).agg(F.collect_set("h1").alias("gone")), "lines-gone")
+    finally:
+        runs.close()
+
+    cleaned = base.join(gone, ROW, "left")
     hashes = F.when(F.col("gone").isNotNull(), F.transform(keys_of, key_hash))  # only where a line goes
     out = cleaned.select(
-        "id", F.size(F.split("text", "\n")).cast("long").alias("n_lines"), _without("text", hashes, "gone").alias("out")
+        "none", "id", F.size(F.split("text", "\n")).cast("long").alias("n_lines"), _without("text", hashes, "gone").alias("out")
     )
     return out.select(
-        F.when(F.col("id") != NO_ID, F.col("id")).alias("id"), "n_lines", "out.n_dropped", "out.text"
+        F.when(~F.col("none"), F.col("id")).alias("id"), "n_lines", "out.n_dropped", "out.text"
     )
