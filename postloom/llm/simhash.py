@@ -13,8 +13,9 @@ overlap at their borders; every linked pair meets in at least one.  Within a
 shard all pairs are compared on all bits.
 
 The trees are fitted on a bounded sample of fingerprints; shards that come out
-large are split further by vantage points drawn from a seed.  Every distinct
-fingerprint is indexed.  A shard returns its links as stars, one row per
+large are split further by vantage points drawn from a seed, and what stays
+large, a cloud of texts alike in a slice, is compared block by block, two blocks
+to a task.  Every distinct fingerprint is indexed.  A shard returns its links as stars, one row per
 fingerprint at most, and the components are found from those.
 """
 
@@ -133,28 +134,30 @@ def plant(sample: np.ndarray, mask: int, radius: int, depth: int, seed: int) ->
     return Tree(mask, radius, depth, point, border)
 
 
-def close_pairs_as_stars(fps: np.ndarray, max_bits: int, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """For distinct ``fps``: (u, v) linking every member of a linked group to its least member."""
-    fps = np.sort(fps)
-    root = np.arange(len(fps))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
+def close_pairs_as_stars(
+    fps: np.ndarray, max_bits: int, block: int = 512, other: np.ndarray | None = None,
+) -> tuple[np.ndarray, np.ndarray]:
+    """(u, v) linking every member of a linked group to its least member.
 
+    Links are those among the distinct ``fps``, or with ``other``, which shares
+    none of them, those between the two.  Groups merge a row of the distance
+    matrix at a time, so no step is taken per pair.
+    """
+    fps = np.sort(fps)
+    every = fps if other is None else np.sort(np.concatenate([fps, other]))
+    columns = every if other is None else np.sort(other)
+    rows_at, columns_at = np.searchsorted(every, fps), np.searchsorted(every, columns)
+    root = np.arange(len(every))
     for at in range(0, len(fps), block):
-        some = fps[at : at + block]
-        near = np.bitwise_count(some[:, None] ^ fps[None, at:]) <= max_bits
-        for a, b in zip(*np.nonzero(near)):
-            if b > a:
-                i, j = find(at + int(a)), find(at + int(b))
-                if i != j:
-                    root[max(i, j)] = min(i, j)
-    least = np.array([find(i) for i in range(len(fps))], np.int64)
-    linked = least != np.arange(len(fps))
-    return fps[linked], fps[least[linked]]
+        first = at if other is None else 0  # the matrix is symmetric
+        near = np.bitwise_count(fps[at : at + block, None] ^ columns[None, first:]) <= max_bits
+        for a in np.flatnonzero(near.any(axis=1)).tolist():
+            labels = root[np.append(columns_at[first:][near[a]], rows_at[at + a])]
+            least = labels.min()
+            if (labels != least).any():
+                root[np.isin(root, labels)] = least
+    linked = root != np.arange(len(every))
+    return every[linked], every[root[linked]]
 
 
 def near_links(
@@ -192,13 +195,34 @@ def near_links(
     for r in sizes.where(F.col("size") > 4 * shard_size).collect():
         extra[r["tree"]][r["shard"]] = math.ceil(math.log2(r["size"] / (2 * shard_size)))
 
+    def stars(u: np.ndarray, v: np.ndarray) -> pa.Table:
+        return pa.table({"u": u.view(np.int64), "v": v.view(np.int64)})
+
     def pairs(key: tuple, rows: pa.Table) -> pa.Table:
         own = np.unique(rows.column("fp").to_numpy()).view(np.uint64)
-        u, v = close_pairs_as_stars(own, max_bits)
-        return pa.table({"u": u.view(np.int64), "v": v.view(np.int64)})
+        return stars(*close_pairs_as_stars(own, max_bits))
 
     placed = fps.mapInArrow(assign(extra, False), "tree long, shard long, fp long")
-    return placed.groupBy("tree", "shard").applyInArrow(pairs, "u long, v long").distinct()
+    if not any(extra):
+        return placed.groupBy("tree", "shard").applyInArrow(pairs, "u long, v long").distinct()
+
+    # A cloud of fingerprints that share a slice cannot be split by it: shards still large are cut into
+    # blocks, and every two blocks of a shard meet in a task of their own.
+    placed = written(placed, "fp-shards")
+    large = placed.groupBy("tree", "shard").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 4 * shard_size)
+    blocks = F.coalesce(F.ceil(F.col("size") / (2 * shard_size)), F.lit(1)).cast("int")
+    cut = attach(placed, written(large, "fp-large"), ["tree", "shard"], "size").select(
+        "tree", "shard", "fp", blocks.alias("blocks"), F.pmod(F.xxhash64("fp"), blocks).cast("int").alias("own"))
+    met = cut.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "tree", "shard", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "fp")
+
+    def block_pairs(key: tuple, rows: pa.Table) -> pa.Table:
+        i, j = key[2].as_py(), key[3].as_py()
+        own, fp = rows.column("own").to_numpy(), rows.column("fp").to_numpy()
+        one, two = (np.unique(fp[own == b]).view(np.uint64) for b in (i, j))
+        return stars(*close_pairs_as_stars(one, max_bits, other=None if i == j else two))
+
+    return met.groupBy("tree", "shard", "i", "j").applyInArrow(block_pairs, "u long, v long").distinct()
 
 
 def _grouped(

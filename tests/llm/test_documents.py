@@ -339,3 +339,107 @@ def test_empty_tables(spark, nothing):
         simhash.near_duplicates(nothing), simhash.one_of_each(nothing), language.predict(nothing, model),
     ):
         assert frame.count() == 0
+
+
+def plain_counts(text):
+    data = f" {' '.join(re.findall(r'[^\W\d_]+', text.lower()))} ".encode()
+    n = [0] * language.CELLS
+    for i in range(len(data) - 1):
+        n[((data[i] << 8 | data[i + 1]) * 0x9E3779B1 % 2**32) >> 19] += 1
+    for i in range(len(data) - 2):
+        n[((data[i] << 16 | data[i + 1] << 8 | data[i + 2]) * 0x85EBCA77 % 2**32) >> 19] += 1
+    return n
+
+
+def test_language_query_against_a_plain_rewrite(spark):
+    """Frequencies over all labelled texts, cosine with every centroid, rejection by distance and length."""
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    rows_ = docs.select("doc_id", "text", "lang").collect()
+    model = language.fit_outside_fold(docs)
+    held = {r.doc_id for r in rows_ if zlib.crc32(str(r.doc_id).encode()) % 5 == 0}
+    taught = [plain_counts(r.text) for r in rows_ if r.lang and r.doc_id not in held and r.text and any(map(str.isalpha, r.text))]
+    df = [sum(c > 0 for c in column) for column in zip(*taught)]
+    assert np.allclose(model.idf, [np.log((1 + len(taught)) / (1 + d)) + 1 for d in df], atol=1e-5)
+    assert set(model.languages) == {r.lang for r in rows_ if r.lang}
+    assert np.allclose(np.linalg.norm(model.centroids, axis=1), 1, atol=1e-4) and len(set(model.languages)) < len(model.languages)
+    got = {r.doc_id: r for r in queries.QUERIES["op9_language_id"](spark, folder).collect()}
+    assert len(got) == len(rows_)
+    for r in rows_:
+        g = got[r.doc_id]
+        assert g.held_out == (r.doc_id in held)
+        if not r.text or not any(map(str.isalpha, r.text)):
+            assert (g.lang_pred, g.score) == ("und", 0)
+            continue
+        v = [np.log1p(c) * w for c, w in zip(plain_counts(r.text), model.idf)]
+        cosines = [float(np.dot(c, v) / np.linalg.norm(v)) for c in model.centroids]
+        best = max(cosines)
+        assert abs(g.score - best) < 1e-4
+        assert best - max(c for c, name in zip(cosines, model.languages) if name == g.lang_pred) < 1e-4
+        limit = model.radius[model.languages.index(g.lang_pred), sum(len(r.text) >= n for n in (16, 64, 256))]
+        assert g.rejected == (1 - best > limit) or abs(1 - best - limit) < 1e-4
+
+
+def test_junk_is_rejected_and_clean_texts_are_not(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language.fit_outside_fold(docs)
+    rng = np.random.default_rng(1)
+    letters = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz     "), n)) for n in (100, 300, 1000, 5000) for _ in range(10)]
+    base64 = ["".join(rng.choice(list(string.ascii_letters + string.digits + "+/"), n)) for n in (100, 300, 1000, 5000) for _ in range(10)]
+    assert all(model.predict(letters + base64)[2])
+    assert all(model.predict(["Nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura che la diritta via era smarrita"])[2])
+    clean = [r.text for r in docs.where(language.is_held_out(F.col("doc_id")) & F.col("lang").isNotNull()).collect() if any(map(str.isalpha, r.text or ""))]
+    assert sum(model.predict(clean)[2]) <= 0.01 * len(clean)
+
+
+def test_many_languages_are_bounded(spark):
+    table = spark.createDataFrame([(i, f"wort nummer {i} hier", f"l{i % 40:02d}" if i < 400 else "de") for i in range(500)], "doc_id long, text string, lang string")
+    model = language.fit(table, max_languages=5)
+    assert len(set(model.languages)) == 5 and "de" in model.languages
+
+
+def cloud(n, seed):
+    """Distinct fingerprints that share one half and differ in few bits of the other, and some of their own."""
+    rng = np.random.default_rng(seed)
+    center = rng.integers(0, 1 << 63, dtype=np.uint64)
+    flips = np.zeros(n, np.uint64)
+    for _ in range(5):
+        flips ^= np.uint64(1) << rng.integers(0, 32, n).astype(np.uint64)
+    return np.unique(np.concatenate([center ^ flips, rng.integers(0, 1 << 63, n // 4, dtype=np.uint64)]))
+
+
+def groups_of(fps, links):
+    root = {int(f): int(f) for f in fps}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for u, v in links:
+        a, b = find(int(u)), find(int(v))
+        root[max(a, b)] = min(a, b)
+    return {f: find(f) for f in root}
+
+
+def test_dense_clouds_are_cut_into_blocks(spark):
+    fps = cloud(6000, 3)
+    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 3
+    want = groups_of(fps, zip(*(fps[x] for x in np.nonzero(np.triu(near, 1)))))
+    table = spark.createDataFrame([(int(f),) for f in fps.view(np.int64)], "fp long").repartition(4)
+    links = simhash.near_links(table, 3, shard_size=64, sample_size=256)
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    assert "with#" in plan or "Generate explode" in plan  # blocks meet
+    got = groups_of(fps, [(np.int64(r.u).view(np.uint64), np.int64(r.v).view(np.uint64)) for r in links.collect()])
+    assert got == want and 100 < len(set(want.values())) < len(fps) / 2
+
+
+def test_stars_within_and_between():
+    fps = cloud(800, 5)
+    one, two = fps[::2], fps[1::2]
+    inside = groups_of(fps, zip(*simhash.close_pairs_as_stars(fps, 3)))
+    links = [p for a in ((one, None), (two, None), (one, two)) for p in zip(*simhash.close_pairs_as_stars(a[0], 3, other=a[1]))]
+    assert groups_of(fps, links) == inside
+    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 3
+    assert inside == groups_of(fps, zip(*(fps[x] for x in np.nonzero(np.triu(near, 1)))))
