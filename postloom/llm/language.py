@@ -137,7 +137,7 @@ def document_frequencies(texts: DataFrame, groups: int = 64) -> tuple[int, np.nd
 
 def fit(
     labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", centroids: int = 4, per_language: int = 400,
-    quantile: float = 0.995, slack: float = 1.25, min_radius: float = 0.75, max_radius: float = 0.93, rounds: int = 8,
+    quantile: float = 0.995, slack: float = 1.25, min_radius: float = 0.8, max_radius: float = 0.93, rounds: int = 8,
     max_languages: int = 256, seed: int = 42,
 ) -> Model:
     """Fit on labelled rows; rows without language, or whose text has no letter, teach nothing.
