@@ -159,6 +159,27 @@ def test_every_query_is_there():
     assert sorted(int(n.split("_")[0][2:]) for n in queries.QUERIES) == list(range(1, 14))
 
 
+def test_stages_on_awkward_and_empty_tables(spark, docs, nothing):
+    more = docs.unionByName(docs.where("doc_id < 8").withColumn("lang", F.lit("en"))).unionByName(
+        spark.range(40).select(*[(F.lit(None).cast(f.dataType) if f.name != "text" else F.concat(
+            F.lit("some words that make a text number "), "id")).alias(f.name) for f in docs.schema]))
+    for table in (corpus_pipeline.written(more, "awkward"), nothing):
+        at, sizes = table, [table.count()]
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            at = corpus_pipeline.written(stage(spark, at, FOLDER), name)
+            assert at.columns == table.columns
+            sizes.append(at.count())
+        assert sizes[0] >= sizes[1] >= sizes[2] >= sizes[3] and sizes[4] <= 2 * sizes[3]
+        out = corpus_pipeline.STAGES[-1][1](spark, at, FOLDER)
+        assert out.count() == sizes[-1] and out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+        # each stage takes the awkward rows as they are, too
+        for name, stage in corpus_pipeline.STAGES[1:]:
+            rows = stage(spark, table, FOLDER)
+            assert rows.count() <= 2 * sizes[0]
+            if name == "bpe":
+                assert rows.count() == sizes[0]
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     kept = {}
