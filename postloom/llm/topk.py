@@ -7,13 +7,17 @@ largest value in it, and the exact vectors in a column of their own.
 1. Blocks of queries meet all blocks of cells.  The cells bound every score
    from both sides; the k-th largest lower bound over all blocks is a score
    each query is sure to reach.
-2. The blocks are met again.  Vectors whose upper bound reaches that score are
-   read exactly, best bound first, until the k-th exact score is above every
-   bound left.
-3. What the blocks found is ranked per query.
+2. The blocks of cells are met again.  Vectors whose upper bound reaches that
+   score are candidates, noted by position and bound.  Neither pass touches the
+   column of exact vectors.
+3. Blocks with candidates are read, once each, and what their candidates need
+   of them is scored best bound first, until the k-th exact score is above
+   every bound left.
+4. What the blocks found is ranked per query.
 
 The meeting of blocks is an equi join: query blocks are dealt to slices, and
-vector blocks belong to one slice each.
+vector blocks belong to one slice each.  Reading is a sorted stream in which a
+block comes before the candidates that ask for it.
 """
 
 from __future__ import annotations
@@ -30,6 +34,7 @@ from pyspark.sql import functions as F
 from postloom.session import written
 
 FAN = 16
+ASKS = 256  # query blocks that share one read of a vector block
 
 
 def whole_vector(vector: Column, scale: int) -> Column:
@@ -81,13 +86,33 @@ def approximate(x: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray, np.n
     return cell, low, high
 
 
-def _vector_block(cells: int):
+def standing(ids: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
+    """Positions that some query may have among its k best; the others lose to equal vectors of the block.
+
+    A query passes over one id, its own.  So a vector that equals k + 1 others
+    with ids smaller and all different, or k others of its own id before it, is
+    behind k rows in every ranking.
+    """
+    packed = np.ascontiguousarray(x).view(np.dtype((np.void, x.itemsize * x.shape[1]))).ravel()
+    group = np.unique(packed, return_inverse=True)[1]
+    order = np.lexsort((ids, group))
+    g, i, at = group[order], ids[order], np.arange(len(ids))
+    new_group = np.concatenate([[True], g[1:] != g[:-1]])
+    new_id = new_group | np.concatenate([[True], i[1:] != i[:-1]])
+    distinct = np.cumsum(new_id)
+    smaller = distinct - np.maximum.accumulate(np.where(new_group, distinct, 0))
+    before = at - np.maximum.accumulate(np.where(new_id, at, 0))
+    return np.sort(order[(smaller <= k) & (before < k)]).astype(np.int32)
+
+
+def _vector_block(cells: int, k: int):
     def build(name: str, ids: list[int], vectors: list[list[int]]) -> pa.RecordBatch:
-        x = np.array(vectors, np.int64).reshape(len(ids), -1)
+        x, own = np.array(vectors, np.int64).reshape(len(ids), -1), np.array(ids, np.int64)
         cell, low, high = approximate(x, cells)
+        kind = next(t for t in ("<i2", "<i4", "<i8") if t == "<i8" or (np.iinfo(t).min <= x.min() and x.max() <= np.iinfo(t).max))
         return _batch({
-            "vb": name, "dim": x.shape[1], "ids": np.array(ids, np.int64).tobytes(), "cell": cell.tobytes(),
-            "low": low.tobytes(), "high": high.tobytes(), "exact": x.tobytes(),
+            "vb": name, "dim": x.shape[1], "ids": own.tobytes(), "cell": cell.tobytes(), "low": low.tobytes(),
+            "high": high.tobytes(), "live": standing(own, x, k).tobytes(), "kind": kind, "exact": x.astype(kind).tobytes(),
         })
 
     return build
@@ -98,36 +123,48 @@ def _query_block(name: str, ids: list[int], vectors: list[list[int]]) -> pa.Reco
     return _batch({"qb": name, "dim": x.shape[1], "qids": np.array(ids, np.int64).tobytes(), "q": x.tobytes()})
 
 
-def bounds(q: np.ndarray, cell: np.ndarray, low: np.ndarray, high: np.ndarray, upper: bool) -> np.ndarray:
-    """Bound from above or below on q times every vector in the cells."""
-    at = np.arange(cell.shape[1])
-    lo, hi = low[at, cell].astype(np.float64), high[at, cell].astype(np.float64)
-    plus, minus = np.maximum(q, 0).astype(np.float64), np.minimum(q, 0).astype(np.float64)
+def bounds(q: np.ndarray, lo: np.ndarray, hi: np.ndarray, upper: bool) -> np.ndarray:
+    """Bound from above or below on q times every vector between lo and hi.
+
+    Integers are summed without rounding in the narrowest float that holds every
+    sum; where none does, the bound makes room for rounding.
+    """
+    size = np.abs(q.astype(np.float64)).max(initial=0) * max(1, q.shape[1])
+    size *= max(np.abs(lo.astype(np.float64)).max(initial=0), np.abs(hi.astype(np.float64)).max(initial=0))
+    real = np.float32 if size < 2.0**24 else np.float64
+    plus, minus = np.maximum(q, 0).astype(real), np.minimum(q, 0).astype(real)
+    lo, hi = lo.astype(real), hi.astype(real)
     out = plus @ (hi if upper else lo).T + minus @ (lo if upper else hi).T
-    # Room for rounding; less than one as long as scores are below 2**40.
-    room = 2.0**-40 * np.abs(q).astype(np.float64).max(initial=0) * np.maximum(np.abs(lo), np.abs(hi)).max(initial=0) * max(1, q.shape[1])
+    room = 0 if size < 2.0**52 else 2.0**-40 * size
     return out + room if upper else out - room
 
 
 def exact_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Integer inner products of one query with vectors, held within the range of a long."""
-    size = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(1, len(q))
+    size = np.abs(q.astype(np.float64)).max(initial=0) * np.abs(x.astype(np.float64)).max(initial=0) * max(1, len(q))
     if size < 2.0**52:
         return (x.astype(np.float64) @ q.astype(np.float64)).astype(np.int64)
     sums = x.astype(object) @ q.astype(object)
     return np.array([min(max(int(s), -(2**63)), 2**63 - 1) for s in sums], np.int64)
 
 
+def _opened(r: dict) -> tuple[np.ndarray, ...]:
+    """Of a meeting of blocks: queries, their ids, and of the standing vectors position, id, least and greatest values."""
+    dim, qids, live = r["dim"], np.frombuffer(r["qids"], np.int64), np.frombuffer(r["live"], np.int32)
+    ids = np.frombuffer(r["ids"], np.int64)
+    low, high = (np.frombuffer(r[c], np.int64).reshape(dim, -1) for c in ("low", "high"))
+    cell, at = np.frombuffer(r["cell"], np.uint8).reshape(len(ids), dim)[live], np.arange(dim)
+    return np.frombuffer(r["q"], np.int64).reshape(len(qids), dim), qids, live, ids[live], low[at, cell], high[at, cell]
+
+
 def _lower_bounds(k: int):
     """Per pair of blocks, each query's k largest lower bounds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                dim, qids, ids = r["dim"], np.frombuffer(r["qids"], np.int64), np.frombuffer(r["ids"], np.int64)
-                low, high = (np.frombuffer(r[c], np.int64).reshape(dim, -1) for c in ("low", "high"))
-                cell = np.frombuffer(r["cell"], np.uint8).reshape(len(ids), dim)
-                found = bounds(np.frombuffer(r["q"], np.int64).reshape(len(qids), dim), cell, low, high, upper=False)
+                q, qids, _, ids, lo, hi = _opened(r)
+                found = bounds(q, lo, hi, upper=False).astype(np.float64)
                 found[qids[:, None] == ids[None, :]] = -np.inf
                 yield _batch({"qb": r["qb"], "part": zlib.crc32(r["vb"].encode()), "best": _top(found, k).tobytes()})
 
@@ -151,43 +188,85 @@ def _merge_bounds(k: int):
     return merge
 
 
-def _refine(k: int):
-    """Per pair of blocks and query, at most k exact scores that may be among the best."""
-    empty = {"query": pa.int64(), "qb": pa.string(), "row": pa.int64(), "id": pa.int64(), "score": pa.int64()}
+def _floors(k: int):
+    """Per query block, the score each query is sure to reach."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                dim, qids, ids = r["dim"], np.frombuffer(r["qids"], np.int64), np.frombuffer(r["ids"], np.int64)
-                low, high = (np.frombuffer(r[c], np.int64).reshape(dim, -1) for c in ("low", "high"))
-                cell = np.frombuffer(r["cell"], np.uint8).reshape(len(ids), dim)
-                q, x = np.frombuffer(r["q"], np.int64).reshape(len(qids), dim), np.frombuffer(r["exact"], np.int64).reshape(len(ids), dim)
-                floor = np.frombuffer(r["best"], np.float64).reshape(-1, k).min(axis=1)
-                upper = bounds(q, cell, low, high, upper=True)
+                yield _batch({"qb": r["qb"], "floor": np.frombuffer(r["best"], np.float64).reshape(-1, k).min(axis=1).tobytes()})
+
+    return run
+
+
+ASKED = "vb string, qb string, dim long, rows binary, many binary, at binary, bound binary, qids binary, q binary, floor binary"
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per pair of blocks, the vectors that may reach a query's floor, best bound first, and the queries that have any."""
+    for b in batches:
+        for r in b.to_pylist():
+            q, qids, live, ids, lo, hi = _opened(r)
+            floor, upper = np.frombuffer(r["floor"], np.float64), bounds(q, lo, hi, upper=True).astype(np.float64)
+            row, v = np.nonzero((upper >= floor[:, None]) & (qids[:, None] != ids[None, :]))
+            if not len(row):
+                continue
+            bound = upper[row, v]
+            order = np.lexsort((-bound, row))
+            rows, many = np.unique(row, return_counts=True)
+            yield _batch({
+                "vb": r["vb"], "qb": r["qb"], "dim": r["dim"], "rows": rows.astype(np.int32).tobytes(),
+                "many": many.astype(np.int32).tobytes(), "at": live[v[order]].tobytes(), "bound": bound[order].tobytes(),
+                "qids": qids[rows].tobytes(), "q": q[rows].tobytes(), "floor": floor[rows].tobytes(),
+            })
+
+
+FOUND = pa.schema([(c, pa.string() if c == "qb" else pa.int64()) for c in ("query", "qb", "row", "id", "score")])
+
+
+def _read(k: int):
+    """Per block and query, at most k exact scores that may be among the best; a block comes before those who ask for it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = ids = x = None
+        for b in batches:
+            for r in b.to_pylist():
+                if r["exact"] is not None:
+                    block, ids = r["vb"], np.frombuffer(r["ids"], np.int64)
+                    x = np.frombuffer(r["exact"], r["kind"]).reshape(len(ids), -1)
+                    continue
+                if block != r["vb"]:
+                    raise RuntimeError("a block of vectors is missing")
+                rows, many, at = (np.frombuffer(r[c], np.int32) for c in ("rows", "many", "at"))
+                bound, floor = (np.frombuffer(r[c], np.float64) for c in ("bound", "floor"))
+                qids, q = np.frombuffer(r["qids"], np.int64), np.frombuffer(r["q"], np.int64).reshape(len(rows), -1)
                 out: dict[str, list[np.ndarray]] = {c: [] for c in ("query", "row", "id", "score")}
-                for i in range(len(qids)):
-                    may = np.flatnonzero((upper[i] >= floor[i]) & (ids != qids[i]))
-                    may = may[np.argsort(-upper[i, may], kind="stable")]
-                    got_ids, got = np.zeros(0, np.int64), np.zeros(0, np.int64)
-                    step, at = 4 * k, 0
-                    while at < len(may) and (len(got) < k or upper[i, may[at]] >= got[-1]):
-                        some = may[at : at + step]
-                        at, step = at + step, 2 * step
-                        got_ids, got = np.concatenate([got_ids, ids[some]]), np.concatenate([got, exact_scores(q[i], x[some])])
-                        first = _ranked(got_ids, got)[:k]
-                        got_ids, got = got_ids[first], got[first]
+                for i, end in enumerate(np.cumsum(many)):
+                    own = slice(end - many[i], end)
+                    got_ids, got = best_of(q[i], x, ids, at[own], bound[own], k)
                     sure = got >= floor[i]
                     got_ids, got = got_ids[sure], got[sure]
-                    for c, v in (("query", np.full(len(got), qids[i])), ("row", np.full(len(got), i)), ("id", got_ids), ("score", got)):
+                    for c, v in (("query", np.full(len(got), qids[i])), ("row", np.full(len(got), rows[i])), ("id", got_ids), ("score", got)):
                         out[c].append(v)
-                merged = {c: np.concatenate(v) for c, v in out.items() if v}
-                if merged:
-                    merged["qb"] = np.full(len(merged["id"]), r["qb"])
-                    yield pa.RecordBatch.from_arrays([pa.array(merged[c], t) for c, t in empty.items()], list(empty))
+                merged = {c: np.concatenate(v) for c, v in out.items()} | {"qb": [r["qb"]] * sum(map(len, out["id"]))}
+                yield pa.RecordBatch.from_arrays([pa.array(merged[f.name], f.type) for f in FOUND], schema=FOUND)
 
     return run
 
 
+def best_of(q: np.ndarray, x: np.ndarray, ids: np.ndarray, at: np.ndarray, bound: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and scores of the k best of x[at], read in order of falling bound until the k-th is certain."""
+    got_ids, got = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    done, step = 0, k
+    while done < len(at) and (len(got) < k or bound[done] >= got[-1]):
+        some = at[done : done + step]
+        done, step = done + step, 2 * step
+        got_ids, got = np.concatenate([got_ids, ids[some]]), np.concatenate([got, exact_scores(q, x[some])])
+        first = _ranked(got_ids, got)[:k]
+        got_ids, got = got_ids[first], got[first]
+    return got_ids, got
+
+
 def _ranked(ids: np.ndarray, scores: np.ndarray) -> np.ndarray:
     """Order by falling score, then rising id; ~ turns longs around without overflow."""
     return np.lexsort((ids, ~scores))
@@ -213,8 +292,8 @@ def top_k(
     ).where("id IS NOT NULL AND size(v) > 0")
     file = written(
         whole.select("id", "v").mapInArrow(
-            _blocks(block_rows, _vector_block(1 << bits)),
-            "vb string, dim long, ids binary, cell binary, low binary, high binary, exact binary",
+            _blocks(block_rows, _vector_block(1 << bits, k)),
+            "vb string, dim long, ids binary, cell binary, low binary, high binary, live binary, kind string, exact binary",
         ),
         "va-file",
     )
@@ -224,10 +303,10 @@ def top_k(
     )
     blocks = file.count()
     slices = max(1, min(blocks, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    cells = file.withColumn("slice", F.pmod(F.xxhash64("vb"), F.lit(slices)).cast("int"))
+    cells = file.drop("kind", "exact").withColumn("slice", F.pmod(F.xxhash64("vb"), F.lit(slices)).cast("int"))
     dealt = lambda asking: asking.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
 
-    lower = cells.select("vb", "dim", "slice", "ids", "cell", "low", "high").join(dealt(asked), ["dim", "slice"])
+    lower = cells.join(dealt(asked), ["dim", "slice"])
     best = lower.mapInArrow(_lower_bounds(k), "qb string, part long, best binary")
     parts = blocks
     while True:
@@ -237,9 +316,16 @@ def top_k(
         )
         if parts <= 1:
             break
-    sure = written(asked.join(best.drop("part"), "qb"), "va-floors")
-
-    upper = cells.join(dealt(sure), ["dim", "slice"])
-    found = upper.mapInArrow(_refine(k), "query long, qb string, row long, id long, score long")
+    floors = best.mapInArrow(_floors(k), "qb string, floor binary")
+    sure = written(asked.join(floors, "qb"), "va-floors")
+
+    asks = written(cells.join(dealt(sure), ["dim", "slice"]).mapInArrow(_candidates, ASKED), "va-candidates")
+    shares = asks.groupBy("vb").agg(F.ceil(F.count(F.lit(1)) / ASKS).cast("int").alias("shares"))
+    blocks_read = file.select("vb", "ids", "kind", "exact").join(shares, "vb").select(
+        "*", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+    asking = asks.join(shares, "vb").withColumn("share", F.pmod(F.xxhash64("qb"), F.col("shares")).cast("int"))
+    stream = blocks_read.unionByName(asking, allowMissingColumns=True).drop("shares").repartition("vb", "share")
+    found = stream.sortWithinPartitions("vb", "share", F.col("exact").isNull()).mapInArrow(
+        _read(k), "query long, qb string, row long, id long, score long")
     rank = F.row_number().over(Window.partitionBy("qb", "row").orderBy(F.col("score").desc(), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("query").alias("query_id"), "rank", "id", "score")

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,6 +43,69 @@ def test_top_k(spark, bits, block):
     assert topk.top_k(table.where("vec_id < 0"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def block_of(x, ids, k, name="b"):
+    (row,) = topk._vector_block(64, k)(name, list(ids), x.tolist()).to_pylist()
+    return row
+
+
+def test_exact_vectors_are_read_for_candidates_only(spark, monkeypatch):
+    """The passes over the cells know no exact vectors; few of them are scored afterwards, in order of their bounds."""
+    rng = np.random.default_rng(3)
+    x, k = rng.integers(-64, 64, (2000, 16)), 5
+    ids = np.arange(2000)
+    block = block_of(x, ids, k)
+    exact, kind = block.pop("exact"), block.pop("kind")
+    q = topk._query_block("q", ids[:40].tolist(), x[:40].tolist()).to_pylist()[0] | block
+    best = next(topk._lower_bounds(k)([pa.RecordBatch.from_pylist([q])])).to_pylist()[0]
+    floor = next(topk._floors(k)([pa.RecordBatch.from_pylist([best])])).to_pylist()[0]["floor"]
+    (asks,) = [b.to_pylist()[0] for b in topk._candidates([pa.RecordBatch.from_pylist([q | {"floor": floor}])])]
+    scored, scores = [], topk.exact_scores
+    monkeypatch.setattr(topk, "exact_scores", lambda a, b: scored.append(len(b)) or scores(a, b))
+    names = {c.split()[0] for c in topk.ASKED.split(", ")}
+    none = dict.fromkeys(names | {"ids", "kind", "exact"})
+    rows = [none | {"vb": "b", "ids": block["ids"], "kind": kind, "exact": exact}, none | asks]
+    schema = pa.schema([(c, pa.string() if c in ("vb", "qb", "kind") else pa.int64() if c == "dim" else pa.binary()) for c in none])
+    got = [r for b in topk._read(k)([pa.RecordBatch.from_pylist(rows, schema=schema)]) for r in b.to_pylist()]
+    assert Counter((r["query"], r["id"], r["score"]) for r in got) == Counter(
+        (i, j, s) for i in range(40) for s, j in sorted(((int(x[i] @ x[j]), j) for j in range(2000) if j != i), key=lambda t: (-t[0], t[1]))[:k])
+    assert 40 * k <= sum(scored) < 40 * 2000 / 50
+    with pytest.raises(RuntimeError):
+        list(topk._read(k)([pa.RecordBatch.from_pylist(rows[1:], schema=schema)]))
+
+
+def test_equal_vectors_that_cannot_be_among_the_best():
+    x = np.array([[1, 2]] * 90 + [[3, 4]] * 3 + [[1, 2]] * 20)
+    ids = np.concatenate([np.arange(90), [7, 8, 9], np.full(20, -5)])
+    live = topk.standing(ids, x, 4)
+    assert Counter(ids[live].tolist()) == Counter([-5] * 4 + [0, 1, 2, 3] + [7, 8, 9])
+    for i in (0, 2, 50, -5, 7):  # whatever the query's own id, its best rows stand
+        ranked = lambda at: sorted((-int(x[j] @ [1, 1]), int(ids[j])) for j in at if ids[j] != i)[:4]
+        assert ranked(live) == ranked(range(len(ids)))
+
+
+@pytest.mark.parametrize("size", [60, 2**20, 2**40])
+def test_bounds_hold(size):
+    rng = np.random.default_rng(size % 1000)
+    q, x = rng.integers(-size, size, (20, 8)), rng.integers(-size, size, (300, 8))
+    cell, low, high = topk.approximate(x, 16)
+    lo, hi = low[np.arange(8), cell], high[np.arange(8), cell]
+    exact = q.astype(object) @ x.astype(object).T
+    assert (topk.bounds(q, lo, hi, upper=False) <= exact).all() and (exact <= topk.bounds(q, lo, hi, upper=True)).all()
+
+
+def test_passes_read_no_exact_vectors(spark, monkeypatch):
+    plans, kept = [], topk.written
+    def watched(df, label):
+        plans.append((label, df._jdf.queryExecution().executedPlan().toString()))
+        return kept(df, label)
+    monkeypatch.setattr(topk, "written", watched)
+    table = spark.createDataFrame([(i, [float(i % 7), float(i % 11)]) for i in range(400)], "vec_id long, embedding array<double>")
+    assert topk.top_k(table, F.col("vec_id") % 20 == 0, k=5, block_rows=64).count() == 100
+    for label, plan in plans:
+        if label in ("va-floors", "va-candidates"):
+            assert "exact#" not in plan and "cell#" in plan
+
+
 def test_archives(spark):
     big, odd = "<p>é\r\n\r\nWARC/1.1\r\n</p>" * 3000, "x\x00\x1f" * 500
     rows = [(1, "u", big), (2, None, big), (3, "http://a/\r\nb c", big), (4, "u", odd), (5, "u", odd), (6, "u", "small"), (7, "u", "small"),
