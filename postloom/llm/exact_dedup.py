@@ -1,11 +1,14 @@
 """Exact de-duplication: a tree merge of sorted digest runs.
 
 Every input partition becomes a run: one row per digest with its best id and
-its number of rows, sorted by digest.  In each round ``fan`` neighbouring runs
-merge into one; of equal digests the best id stays, so a hot text never brings
-more than ``fan`` rows together, however many copies it has.  Rows only merge
-when digest, byte length and a second hash agree.  The verdicts then go back
-down the same tree, again at most ``fan`` rows per key.
+its number of rows.  Runs lie bucketed by digest and sorted within the buckets,
+so the same bucket of all runs is in one file and runs merge there: after the
+runs are laid out, no row moves between tasks again.  In each round ``fan``
+neighbouring runs merge into one; of equal digests the best id stays, so a hot
+text never brings more than ``fan`` rows together, however many copies it has.
+Rows only merge when digest, byte length and a second hash agree.  The verdicts
+on texts that occur more than once then go back to the rows, those of hot texts
+by broadcast.
 
 Only DataFrame functions are used.  Each level is written to the shared folder,
 so a lost executor costs a re-read.
@@ -13,21 +16,54 @@ so a lost executor costs a re-read.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postloom.llm.common import lower_ascii, or_empty, tagged
-from postloom.session import written
+from postloom.llm.common import attach, lower_ascii, or_empty, tagged
+from postloom.session import new_folder, written
 
 KEY = ["digest", "size", "proof"]
+BUCKET_ROWS = 1 << 21
 
 
 def _best(keep: str, value: Column) -> Column:
     return F.min(value) if keep == "smallest" else F.max(value)
 
 
-def _sorted_run(level: DataFrame) -> DataFrame:
-    return written(level.sortWithinPartitions("run", *KEY), "digest-run")
+def _laid(level: DataFrame, buckets: int) -> str:
+    """Name of the table, over files in the shared folder, that holds a level's runs by bucket."""
+    name = f"digest_run_{uuid.uuid4().hex}"
+    path = new_folder(level.sparkSession, "digest-run")
+    level.write.bucketBy(buckets, *KEY).sortBy(*KEY).option("path", path).saveAsTable(name)
+    return name
+
+
+def _merged(level: DataFrame, fan: int, keep: str) -> DataFrame:
+    """Every ``fan`` neighbouring runs as one; bucket by bucket, without an exchange."""
+    return (
+        level.withColumn("run", F.floor(F.col("run") / fan).cast("int"))
+        .groupBy(*KEY, "run").agg(_best(keep, F.col("best")).alias("best"), F.sum("n").alias("n"))
+    )
+
+
+def _verdicts(rows: DataFrame, order: Column, keep: str, fan: int) -> DataFrame:
+    """Per digest of more than one row its best row and their number."""
+    spark = rows.sparkSession
+    known = rows.agg(F.count(F.lit(1)).alias("n"), F.max("run").alias("last")).first()
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-known["n"] // BUCKET_ROWS))
+    runs = (known["last"] or 0) + 1
+    first = rows.groupBy(*KEY, "run").agg(_best(keep, order).alias("best"), F.count(F.lit(1)).alias("n"))
+    name = _laid(first.repartition(buckets, *KEY), buckets)
+    try:
+        while runs > 1:
+            below, name = name, _laid(_merged(spark.table(name), fan, keep), buckets)
+            spark.sql(f"DROP TABLE {below}")
+            runs = -(-runs // fan)
+        return written(spark.table(name).where("n > 1").select(*KEY, "best", "n"), "verdicts")
+    finally:
+        spark.sql(f"DROP TABLE {name}")
 
 
 def exact_duplicates(
@@ -54,26 +90,9 @@ def exact_duplicates(
         order = F.struct(F.col("id").isNull().alias("none"), "id", F.col("row").alias("row"))
     else:
         order = F.struct(F.col("id").isNotNull().alias("some"), "id", (-F.col("row")).alias("row"))
-    level = _sorted_run(
-        rows.groupBy("run", *KEY).agg(_best(keep, order).alias("best"), F.count(F.lit(1)).alias("n"))
-    )
-    levels = [level]
-    runs = (rows.agg(F.max("run").alias("m")).first()["m"] or 0) + 1
-    while runs > 1:
-        level = _sorted_run(
-            level.withColumn("run", F.floor(F.col("run") / fan).cast("int"))
-            .groupBy("run", *KEY).agg(_best(keep, F.col("best")).alias("best"), F.sum("n").alias("n"))
-        )
-        levels.append(level)
-        runs = -(-runs // fan)
-
-    verdict = levels.pop().where("n > 1")
-    while levels:
-        parent = verdict.select(F.col("run").alias("parent"), *KEY, "best", "n")
-        child = levels.pop().select(F.floor(F.col("run") / fan).cast("int").alias("parent"), "run", *KEY)
-        verdict = child.join(parent, ["parent", *KEY]).drop("parent")
+    judged = attach(rows, _verdicts(rows, order, keep, fan), KEY, "n")
     number = F.abs(F.col("best.row"))
-    return rows.join(verdict, ["run", *KEY], "left").select(
+    return judged.select(
         "id",
         F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("best.id")).alias("keep_id"),
         F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),

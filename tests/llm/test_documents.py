@@ -214,6 +214,23 @@ def test_exact_dedup(docs, keep):
     assert stay.columns == docs.columns and stay.count() == len(by_digest)
 
 
+def test_runs_merge_without_exchange(spark):
+    docs = spark.range(400).repartition(7).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id") % 90).alias("text"))
+    runs = docs.select(F.unhex(F.sha2("text", 256)).alias("digest"), F.length("text").alias("size"), F.xxhash64("text").alias("proof"),
+                       F.spark_partition_id().alias("run"), F.struct("doc_id").alias("best"), F.lit(1).cast("long").alias("n"))
+    name = exact_dedup._laid(runs.repartition(4, *exact_dedup.KEY), 4)
+    merged = exact_dedup._merged(spark.table(name), 2, "smallest")
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Bucketed: true" in plan
+    assert {r.run for r in merged.collect()} == {0, 1, 2, 3} and merged.agg(F.sum("n")).first()[0] == 400
+    spark.sql(f"DROP TABLE {name}")
+    before = spark.sql("SHOW TABLES").count()
+    got = exact_dedup.exact_duplicates(docs, fan=2)
+    assert spark.sql("SHOW TABLES").count() == before  # no table stays behind, and the result does not need one
+    assert sorted((r.id, r.keep_id, r.group_size, r.kept) for r in got.collect()) == [
+        (i, i % 90, 5 if i % 90 < 40 else 4, i < 90) for i in range(400)]
+
+
 def brute_fingerprint(text):
     w = WORD.findall((text or "").translate(LOWER))
     if not w:
