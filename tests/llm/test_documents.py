@@ -147,6 +147,53 @@ def test_bpe(docs):
     assert Counter((r.id, r.ids, r.decoded) for r in got) == want
 
 
+SF = "/root/testdata/sf0.001"
+
+
+def whole_table(spark):
+    return {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+
+
+def hexdigest(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_query_of_token_counts(spark):
+    encode, n = library(), {}
+    for i, text in whole_table(spark).items():
+        n[i] = (len(text.encode()), len(encode(text)))
+    got = queries.QUERIES["op3_token_counts"](spark, SF).collect()
+    assert len(got) == len(n)
+    assert {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in got} == {i: (b, t, t > 2048) for i, (b, t) in n.items()}
+
+
+def test_query_of_bpe(spark):
+    encode, t = library(), token_counts.tokenizer(PATH)
+    want = {}
+    for i, text in whole_table(spark).items():
+        ids = encode(text)
+        want[i] = (len(ids), hexdigest(" ".join(map(str, ids))), hexdigest(t.decode(ids, skip_special_tokens=False)))
+    got = queries.QUERIES["op4_bpe"](spark, SF).collect()
+    assert len(got) == len(want) and {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got} == want
+
+
+def test_query_of_simhash(spark):
+    """Fingerprints one by one, components by comparing each fingerprint with all others."""
+    prints = {i: brute_fingerprint(text) for i, text in whole_table(spark).items()}
+    ids = sorted(prints)
+    fps = np.array([prints[i] for i in ids], np.uint64)
+    component = np.arange(len(ids))
+    while True:  # the smallest reachable position, handed on until nothing changes
+        least = np.array([component[np.bitwise_count(fps ^ x) <= 3].min() for x in fps])
+        if (least == component).all():
+            break
+        component = least
+    got = queries.QUERIES["op10_simhash"](spark, SF).collect()
+    assert len(got) == len(ids)
+    assert {r.doc_id: (r.fingerprint, r.component_id) for r in got} == {
+        i: (f"{prints[i]:016x}", ids[component[at]]) for at, i in enumerate(ids)}
+
+
 def test_trie_on_random_texts():
     encode, e, rng = library(), bpe.Encoder(PATH), np.random.default_rng(5)
     letters = list("abcdeinorstABÀÉéßſİΣ中あ½²'’.,!?<|># \n\t\x1c\x85\xa0 ́​👍ﬁ\u0000")
