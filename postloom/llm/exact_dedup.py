@@ -52,7 +52,8 @@ def _verdicts(rows: DataFrame, order: Column, keep: str, fan: int) -> DataFrame:
     """Per digest of more than one row its best row and their number."""
     spark = rows.sparkSession
     known = rows.agg(F.count(F.lit(1)).alias("n"), F.max("run").alias("last")).first()
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-known["n"] // BUCKET_ROWS))
+    setting = lambda name: int(spark.conf.get(f"spark.sql.{name}"))
+    buckets = min(max(setting("shuffle.partitions"), -(-known["n"] // BUCKET_ROWS)), setting("sources.bucketing.maxBuckets"))
     runs = (known["last"] or 0) + 1
     first = rows.groupBy(*KEY, "run").agg(_best(keep, order).alias("best"), F.count(F.lit(1)).alias("n"))
     name = _laid(first.repartition(buckets, *KEY), buckets)
