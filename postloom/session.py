@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,8 +52,36 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_made: ContextVar[list[str] | None] = ContextVar("step folders of the innermost block", default=None)
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    made = _made.get()
+    if made is not None:
+        made.append(folder)
+    return folder
+
+
+@contextmanager
+def steps_cleared(spark: SparkSession) -> Iterator[None]:
+    """Folders that ``new_folder`` names within the block are deleted at its end.
+
+    For jobs that store their result elsewhere: a DataFrame that reads a step
+    cannot be used after the block.  Blocks may be nested, and each clears its own
+    folders only.  They go through the file system they lie on, also when the block fails.
+    What a stream's batch function writes in its own thread is not cleared.
+    """
+    made: list[str] = []
+    outer = _made.set(made)
+    try:
+        yield
+    finally:
+        _made.reset(outer)
+        settings = spark._jsparkSession.sessionState().newHadoopConf()
+        for folder in made:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(settings).delete(path, True)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from postloom import schemas
 from postloom.operators import browse, lifecycle, stats, users
-from postloom.session import shared_folder, within, written
+from postloom.session import new_folder, shared_folder, steps_cleared, within, written
 from postloom.sources import frontier, tables
 
 DAY = dt.datetime(2024, 1, 1)
@@ -131,6 +131,22 @@ def test_shared_folder_is_the_configured_one(spark):
     assert shared_folder(spark) + "/t-" in copy.inputFiles()[0] and copy.count() == 3
 
 
+def test_steps_go_with_their_block(spark):
+    kept = written(spark.range(3), "kept")
+    with pytest.raises(KeyError), steps_cleared(spark):
+        result = new_folder(spark, "result")
+        with steps_cleared(spark):
+            inner = written(spark.range(5), "inner")
+            inner.write.parquet(result)
+        stored = spark.read.parquet(result)
+        assert stored.count() == 5 and not os.path.exists(inner.inputFiles()[0].removeprefix("file://"))
+        new_folder(spark, "never-written")
+        raise KeyError
+    assert not os.path.exists(result) and kept.count() == 3
+    after = written(spark.range(2), "after")
+    assert after.count() == 2
+
+
 def test_size_check_is_bounded(spark):
     rows = spark.createDataFrame([("a" * 10,)] * 5, "x string")
     width = F.length("x")
