@@ -1,7 +1,8 @@
 """A training-data pipeline: every stage works on all that the stage before kept.
 
 run(spark, sf_dir) applies STAGES to ``documents``; what a stage returns is
-written as Parquet to the shared folder and read again for the next one.
+written as Parquet to the shared folder and read again for the next one.  The
+steps a stage wrote on its way go once its result is written.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from postloom.llm import bpe, exact_dedup, language, mixing, simhash
 from postloom.llm.queries import table, word_bpe
-from postloom.session import written
+from postloom.session import new_folder, steps_cleared
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -77,5 +78,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        path = new_folder(spark, name)
+        with steps_cleared(spark):
+            kept = stage(spark, docs, sf_dir)
+            kept.write.parquet(path)
+        docs = spark.read.schema(kept.schema).parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
