@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from postloom.llm.common import or_empty, short
 from postloom.llm.token_counts import tokenizer
-from postloom.llm.words import pieces
+from postloom.llm.words import check_file, pieces
 
 MAX_PAIRS, MAX_PIECES, SLAB = 500_000, 250_000, 1_000_000
 END = "</w>"
@@ -199,8 +199,10 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     Ids are those of the tokenizers library without added special tokens; the
     decoded text is that of its ``decode`` with special tokens kept, which for
     a file without decoder joins the tokens by one space.  Null texts are
-    empty: no ids, empty decoded text.  An empty table gives no rows.
+    empty: no ids, empty decoded text.  An empty table gives no rows.  A file
+    with other rules or a decoder is an error.
     """
+    check_file(path, decodes=True)
     names = ["ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

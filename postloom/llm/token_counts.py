@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postloom.llm.common import attach, or_empty, short
-from postloom.llm.words import is_space, pieces
+from postloom.llm.words import check_file, is_space, pieces
 from postloom.session import written
 
 CACHED_PIECES = 600_000
@@ -206,8 +206,9 @@ def token_counts(
     without added special tokens; it must be one whose tokens never hold or
     reach across white space.  Null texts are empty, with 0 tokens.  Repeated
     rows are counted each; huge texts that occur repeatedly are encoded once.
-    An empty table gives no rows.
+    An empty table gives no rows.  A file with other rules is an error.
     """
+    check_file(path)
     base = docs.select(F.col(id_col).alias("id"), or_empty(F.col(text_col)).alias("text"))
     base = base.withColumn("n_bytes", F.octet_length("text").cast("long"))
     is_huge = F.length("text") > chunk_chars

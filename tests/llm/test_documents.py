@@ -1,6 +1,7 @@
 """Operators on documents: awkward rows, empty tables, and brute-force counterparts."""
 
 import hashlib
+import json
 import re
 import string
 import zlib
@@ -203,6 +204,29 @@ def test_trie_on_random_texts():
         assert ids == " ".join(map(str, encode(text))) and n == len(encode(text)), repr(text)
 
 
+@pytest.mark.parametrize("name, said", [("byte_bpe_50k.json", "splitting rule"), (None, "normaliser"), ("decoder", "decoder")])
+def test_files_with_other_rules_are_refused(nothing, tmp_path, name, said):
+    with open(PATH, encoding="utf-8") as f:
+        spec = json.load(f)
+    path = str(tmp_path / "other.json")
+    if name == "decoder":
+        spec["decoder"] = {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}
+    elif name is None:
+        spec["normalizer"]["normalizers"].pop()
+    else:
+        path = public_tokenizers.path(name)
+    if name in ("decoder", None):
+        with open(path, "w", encoding="utf-8") as f:
+            json.dump(spec, f)
+    with pytest.raises(ValueError, match=said):
+        bpe.encode_decode(nothing, path)
+    if name == "decoder":
+        assert token_counts.token_counts(nothing, path).count() == 0
+    else:
+        with pytest.raises(ValueError, match=said):
+            token_counts.token_counts(nothing, path)
+
+
 def test_every_token_is_its_own_encoding():
     table = bpe.MergeTable(PATH)
     words = sorted(t[:-4] for t in table.vocab if t.endswith(bpe.END))

@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import math
+import os
 from collections import Counter, defaultdict
 
 import duckdb
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from postloom.llm import queries, topk, warc
+from postloom.session import shared_folder, written
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -227,10 +229,10 @@ def test_stages_on_awkward_and_empty_tables(spark, docs, nothing):
     more = docs.unionByName(docs.where("doc_id < 8").withColumn("lang", F.lit("en"))).unionByName(
         spark.range(40).select(*[(F.lit(None).cast(f.dataType) if f.name != "text" else F.concat(
             F.lit("some words that make a text number "), "id")).alias(f.name) for f in docs.schema]))
-    for table in (corpus_pipeline.written(more, "awkward"), nothing):
+    for table in (written(more, "awkward"), nothing):
         at, sizes = table, [table.count()]
         for name, stage in corpus_pipeline.STAGES[:-1]:
-            at = corpus_pipeline.written(stage(spark, at, FOLDER), name)
+            at = written(stage(spark, at, FOLDER), name)
             assert at.columns == table.columns
             sizes.append(at.count())
         assert sizes[0] >= sizes[1] >= sizes[2] >= sizes[3] and sizes[4] <= 2 * sizes[3]
@@ -249,7 +251,7 @@ def test_pipeline(spark):
     kept = {}
     table = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        table = corpus_pipeline.written(stage(spark, table, FOLDER), name)
+        table = written(stage(spark, table, FOLDER), name)
         assert table.columns == docs.columns
         kept[name] = [r.doc_id for r in table.select("doc_id").collect()]
     best = {}
@@ -258,4 +260,8 @@ def test_pipeline(spark):
         best[key] = max(best.get(key, -1), r.doc_id)
     assert sorted(kept["exact_dedup"]) == sorted(best.values())
     assert set(kept["mixing"]) <= set(kept["simhash_near_dedup"]) and max(Counter(kept["mixing"]).values()) == 2
+    before = set(os.listdir(shared_folder(spark)))
     assert corpus_pipeline.run(spark, FOLDER).count() == len(kept["mixing"])
+    # what stages return is there, what they wrote on their way is not
+    left = sorted(name.rsplit("-", 1)[0] for name in set(os.listdir(shared_folder(spark))) - before)
+    assert left == sorted(name for name, _ in corpus_pipeline.STAGES[:-1])
