@@ -28,3 +28,11 @@ def test_dashboard_threshold_keeps_scores_from_30(spark):
     # 70, 30 and 30 points: title, place and pay; description alone; place and pay alone
     got = {tuple(r) for r in QUERIES["f_threshold"](scoring_views(spark)).collect()}
     assert got == {(user, 3, 130, 1, 3) for user in (1, 2, 3)}
+
+
+def test_saved_pages_come_back_one_by_one(spark):
+    rows = [(1, "<p>a\nb</p>"), (2, "same"), (3, "same"), (4, ""), (5, None), (6, "first"), (6, "second"), (None, "x"), (-7, "y")]
+    pages = spark.createDataFrame(rows, "page_id long, html string").coalesce(1)
+    got = QUERIES["src_html_files"](SimpleNamespace(spark=spark, table=lambda name: pages)).collect()
+    assert sorted(map(str, got)) == sorted(
+        f"Row(page_id={page}, digest={md5(html)!r})" if html is not None else f"Row(page_id={page}, digest=None)" for page, html in rows)
