@@ -4,6 +4,7 @@ import datetime as dt
 import hashlib
 from types import SimpleNamespace
 
+from postloom.operators import matching
 from postloom.plans import registry
 
 QUERIES = registry.all_queries() and registry.QUERIES
@@ -36,3 +37,28 @@ def test_saved_pages_come_back_one_by_one(spark):
     got = QUERIES["src_html_files"](SimpleNamespace(spark=spark, table=lambda name: pages)).collect()
     assert sorted(map(str, got)) == sorted(
         f"Row(page_id={page}, digest={md5(html)!r})" if html is not None else f"Row(page_id={page}, digest=None)" for page, html in rows)
+
+
+def test_new_matches_are_not_shuffled_to_be_merged(spark):
+    matches = spark.createDataFrame([(5, 1, 1, 0.4, DAY), (6, 2, 9, 0.3, DAY)], "id long, user_id long, job_id long, match_score double, matched_at timestamp_ntz")
+    scores = spark.range(3000).selectExpr("id % 3 AS user_id", "id div 3 AS job_id", "cast(50 + id % 7 AS int) AS score")
+    rows = matching.merge_scores(matches, scores, "2024-02-01")
+    assert rows.groupBy("change").count().orderBy("change").collect() == [("existing", 2), ("new", 2998)]
+    joined, new = matching._merged_parts(matches, scores, "2024-02-01")
+    assert joined.count() < 200 and new.count() > 2800
+    # new pairs come straight from the scores: broadcasts, no exchange of rows
+    assert new._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(user_id") == 0
+
+
+def test_new_matches_are_numbered_over_blocks_and_slices(spark, monkeypatch):
+    monkeypatch.setattr(matching, "JOB_BLOCK", 7)
+    monkeypatch.setattr(matching, "GROUPS_PER_SLICE", 3)
+    matches = spark.createDataFrame([(50, 1, 3, 0.4, DAY), (60, 9, 9, 0.3, DAY)], "id long, user_id long, job_id long, match_score double, matched_at timestamp_ntz")
+    pairs = [(u, j, 60) for u in (None, 0, 1, 2) for j in (*range(40), None)]
+    scores = spark.createDataFrame(pairs, "user_id long, job_id long, score int")
+    rows = matching.match_upsert(matches, scores, "2024-02-01").collect()
+    new = sorted((r["id"], r["user_id"], r["job_id"]) for r in rows if r["change"] == "new")
+    first = lambda x: (x is not None, x or 0)
+    want = sorted(((u, j) for u, j, _ in pairs if (u, j) != (1, 3)), key=lambda p: (first(p[0]), first(p[1])))
+    assert new == [(61 + i, *p) for i, p in enumerate(want)]
+    assert {(r["id"], r["match_score"], r["change"]) for r in rows if r["change"] != "new"} == {(50, 0.6, "existing"), (60, 0.3, "kept")}
