@@ -4,8 +4,10 @@ import datetime as dt
 import hashlib
 from types import SimpleNamespace
 
+from pyspark.sql import functions as F
+
 from postloom.operators import matching
-from postloom.plans import registry
+from postloom.plans import registry, views
 
 QUERIES = registry.all_queries() and registry.QUERIES
 DAY = dt.datetime(2024, 1, 1)
@@ -62,3 +64,19 @@ def test_new_matches_are_numbered_over_blocks_and_slices(spark, monkeypatch):
     want = sorted(((u, j) for u, j, _ in pairs if (u, j) != (1, 3)), key=lambda p: (first(p[0]), first(p[1])))
     assert new == [(61 + i, *p) for i, p in enumerate(want)]
     assert {(r["id"], r["match_score"], r["change"]) for r in rows if r["change"] != "new"} == {(50, 0.6, "existing"), (60, 0.3, "kept")}
+
+
+def test_pages_are_spread_by_postings_and_cards_derived_once(spark, monkeypatch):
+    monkeypatch.setattr(views, "POSTINGS_PER_TASK", 10)
+    v = views.Views(spark, "/nowhere")
+    v.v_card = spark.range(400).selectExpr(
+        "id", "id div 5 AS page_no", "concat('t', id) AS title", "'c' AS company", "'l' AS location", "'s' AS salary_text", "uuid() AS description")
+    pages = v.board_pages("doda")
+    assert pages.rdd.getNumPartitions() == 40 > spark.sparkContext.defaultParallelism
+    plan = pages._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Repartition") == 1 and "RepartitionByExpression [page_no" in plan
+    rows = {r["page_id"]: r["html"] for r in pages.collect()}
+    assert len(rows) == 80 and all(rows[p].index(f">ct{5 * p}<") < rows[p].index(f">ct{5 * p + 4}<") for p in rows)
+    # both boards print the same derived cards, random text and all
+    both = pages.union(v.board_pages("green")).groupBy("page_id").agg(F.count_distinct(F.regexp_extract("html", "<p>([0-9a-f-]{36})", 1)).alias("n"))
+    assert both.where("n > 1").isEmpty()
