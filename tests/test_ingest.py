@@ -79,6 +79,28 @@ def test_long_chains_take_few_rounds(spark, monkeypatch):
     assert steps.count("kept") == ingest.ROUNDS + 1  # and then every chain by itself
 
 
+def test_rows_without_chains_are_decided_in_two_exchanges(spark, monkeypatch):
+    # copies of urls and fingerprints, but no row that is dropped stands before another
+    rows = [(i, f"u{i % 700}", None if i % 5 == 0 else f"f{i % 350}") for i in range(2000)]
+    steps, plans = [], []
+
+    def counted(df, label, real=ingest.written):
+        steps.append(label)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, label)
+
+    monkeypatch.setattr(ingest, "written", counted)
+    frame = spark.createDataFrame(rows, "seq long, url string, fingerprint string")
+    assert {r["seq"] for r in ingest.ordered_dedup(frame).collect()} == sequential(rows)
+    assert steps == ["first-round"] and plans[0].count("Exchange hashpartitioning") == 2
+
+
+def test_ordered_dedup_keeps_copies_of_a_kept_row(spark):
+    rows = [(1, "u1", "f1"), (1, "u1", "f1"), (2, "u1", "f2"), (3, None, "f3"), (4, "u4", None), (5, "u4", "f2"), (6, "u6", "f2")]
+    frame = spark.createDataFrame(rows, "seq long, url string, fingerprint string")
+    assert sorted(r["seq"] for r in ingest.ordered_dedup(frame).collect()) == [1, 1, 4, 6]
+
+
 @pytest.mark.parametrize("limit", [0, 3, 40])
 def test_large_components_go_on_in_rounds(spark, limit):
     rng = random.Random(limit)
