@@ -53,7 +53,7 @@ def create_store(jobs: DataFrame, folder: str, bucket_rows: int = BUCKET_ROWS) -
     """Lay a postings table out in buckets, as the state before load 0."""
     spark = jobs.sparkSession
     rows = jobs.withColumn("bucket", bucket(F.col("id"), bucket_rows))
-    rows.repartition("bucket").write.partitionBy("bucket").parquet(f"{folder}/buckets")
+    rows.repartition("bucket").write.option("compression", "zstd").partitionBy("bucket").parquet(f"{folder}/buckets")
     jobs.limit(0).write.parquet(f"{folder}/new/load=-1")
     spark.createDataFrame([], SEEN).write.parquet(f"{folder}/seen/load=-1")
     stored = spark.read.schema(rows.schema).parquet(f"{folder}/buckets")
@@ -106,7 +106,7 @@ def read_store(spark: SparkSession, folder: str, schema: T.StructType) -> DataFr
 
 
 def append_load(folder: str, load: int, new: DataFrame, seen: DataFrame) -> None:
-    new.write.mode("overwrite").parquet(f"{folder}/new/load={load}")
+    new.write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/new/load={load}")
     seen.select("id", "last_seen_at").write.mode("overwrite").parquet(f"{folder}/seen/load={load}")
 
 
@@ -127,11 +127,12 @@ def fold(spark: SparkSession, folder: str, schema: T.StructType, upto: int) -> N
         touched = sorted(r["bucket"] for r in new.select(at).union(seen.select(at)).distinct().collect())
         old = _buckets(spark, folder, schema, done).where(F.col("bucket").isin(touched)).drop("bucket")
         rows = sighted(old.unionByName(new), seen).select(*schema.names, at)
-        rows.repartition("bucket").write.mode("overwrite").parquet(path)
+        rows.repartition("bucket").write.mode("overwrite").option("compression", "zstd").parquet(path)
         _note(spark, folder, upto, "staged", top, done.bucket_rows)
     staged = spark.read.schema(with_bucket).parquet(path)
     (
-        staged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("bucket").parquet(f"{folder}/buckets")
+        # a staged file holds whole buckets already
+        staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .option("compression", "zstd").partitionBy("bucket").parquet(f"{folder}/buckets")
     )
     _note(spark, folder, upto, "folded", top, done.bucket_rows)

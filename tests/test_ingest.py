@@ -163,6 +163,21 @@ def test_numbered_is_dense(spark):
     rows = spark.range(1000).select(((F.col("id") * 7919) % 1000).alias("seq"))
     got = [r["id"] for r in ingest.numbered(rows, "seq", 11).orderBy("seq").collect()]
     assert got == list(range(11, 1011))
+    many = ingest.numbered(rows, "seq", 11, rows_per_task=90)
+    assert [(r["seq"], r["id"]) for r in many.orderBy("seq").collect()] == [(i, i + 11) for i in range(1000)]
+    # numbered where they lie: only the sizes of the partitions are exchanged again
+    assert "Exchange hashpartitioning(seq" not in many._jdf.queryExecution().executedPlan().toString()
+    assert many._jdf.queryExecution().executedPlan().toString().count("Window") == 1
+
+
+def test_outcomes_carry_what_is_asked_for(spark):
+    jobs = spark.createDataFrame([(1, "u1", "f1")], "id long, url string, fingerprint string")
+    rows = spark.createDataFrame([(1, "u1", "f9", "a", "x"), (2, "u2", "f2", "b", "y")],
+                                 "seq long, url string, fingerprint string, job_board string, title string")
+    found = ingest.classify(rows, jobs, ["job_board"])
+    assert found.columns == ["fingerprint", "url", "seq", "job_board", "job_id", "outcome"]
+    assert sorted((r["seq"], r["job_board"], r["outcome"]) for r in found.collect()) == [(1, "a", "touch"), (2, "b", "new")]
+    assert set(ingest.classify(rows, jobs).columns) == {*rows.columns, "job_id", "outcome"}
 
 
 def incoming(spark, rows):
