@@ -163,6 +163,7 @@ def test_numbered_is_dense(spark):
     rows = spark.range(1000).select(((F.col("id") * 7919) % 1000).alias("seq"))
     got = [r["id"] for r in ingest.numbered(rows, "seq", 11).orderBy("seq").collect()]
     assert got == list(range(11, 1011))
+    assert ingest.numbered(rows, "seq", 0, "_at").agg(F.max("_at")).first()[0] == 999  # the name match_upsert asks for
     many = ingest.numbered(rows, "seq", 11, rows_per_task=90)
     assert [(r["seq"], r["id"]) for r in many.orderBy("seq").collect()] == [(i, i + 11) for i in range(1000)]
     # numbered where they lie: only the sizes of the partitions are exchanged again
