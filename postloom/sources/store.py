@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -86,6 +86,20 @@ def sighted(rows: DataFrame, seen: DataFrame) -> DataFrame:
     }).drop("_at")
 
 
+def _sighted_in_buckets(rows: DataFrame, seen: DataFrame, bucket_rows: int) -> DataFrame:
+    """``sighted`` with the bucket of each row; rows and sightings meet in the exchange by bucket, the only one."""
+    at = bucket(F.col("id"), bucket_rows)
+    sightings = seen.select("id", F.col("last_seen_at").alias("_at"), F.lit(True).alias("_sighting"))
+    both = rows.withColumn("_sighting", F.lit(False)).unionByName(sightings, allowMissingColumns=True)
+    both = both.withColumn("bucket", at).repartition("bucket")
+    latest = both.withColumn("_at", F.max("_at").over(Window.partitionBy("bucket", "id"))).where("NOT _sighting")
+    hit = F.col("_at").isNotNull()
+    return latest.withColumns({
+        "last_seen_at": F.coalesce("_at", "last_seen_at"), "updated_at": F.coalesce("_at", "updated_at"),
+        "is_active": hit | F.col("is_active"),
+    }).drop("_at", "_sighting")
+
+
 def stored_keys(spark: SparkSession, folder: str, schema: T.StructType, before: int) -> tuple[DataFrame, int]:
     """(id, url and fingerprint of all postings that loads below ``before`` left; the highest id)."""
     done = folded(spark, folder)
@@ -126,8 +140,8 @@ def fold(spark: SparkSession, folder: str, schema: T.StructType, upto: int) -> N
         # at most one number per bucket folder
         touched = sorted(r["bucket"] for r in new.select(at).union(seen.select(at)).distinct().collect())
         old = _buckets(spark, folder, schema, done).where(F.col("bucket").isin(touched)).drop("bucket")
-        rows = sighted(old.unionByName(new), seen).select(*schema.names, at)
-        rows.repartition("bucket").write.mode("overwrite").option("compression", "zstd").parquet(path)
+        rows = _sighted_in_buckets(old.unionByName(new), seen, done.bucket_rows).select(*schema.names, "bucket")
+        rows.write.mode("overwrite").option("compression", "zstd").parquet(path)
         _note(spark, folder, upto, "staged", top, done.bucket_rows)
     staged = spark.read.schema(with_bucket).parquet(path)
     (

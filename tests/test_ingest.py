@@ -1,5 +1,6 @@
 import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -159,6 +160,53 @@ def test_classify_equals_row_by_row(spark, seed):
     assert got == load_by_row(stored, incoming)
 
 
+def exchanged(plan):
+    """Columns of each exchange by key in a plan."""
+    return re.findall(r"Exchange hashpartitioning\(([^)]*)\), ", plan)
+
+
+def test_outcomes_take_two_exchanges_of_the_records(spark, monkeypatch):
+    # urls and fingerprints that others have, stored ones, records without fingerprint
+    rows = [(i, f"u{i % 900}", None if i % 7 == 0 else f"f{i % 600}", f"title {i}") for i in range(2000)]
+    stored = [(i, f"u{i}", f"f{i + 300}") for i in range(50)]
+    plans = {}
+
+    def watched(df, label, real=ingest.written):
+        plans.setdefault(label, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, label)
+
+    monkeypatch.setattr(ingest, "written", watched)
+    frame = spark.createDataFrame(rows, "seq long, url string, fingerprint string, title string")
+    jobs = spark.createDataFrame(stored, "id long, url string, fingerprint string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        records, outcomes = ingest.classify_rows(frame, jobs)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    got = {r["seq"]: (r["outcome"], r["job_id"]) for r in outcomes.collect()}
+    assert got == load_by_row(stored, [r[:3] for r in rows])
+    by_key = [c for c in exchanged(plans["classified"][0]) if "_word" not in c]
+    # the records by url and by fingerprint, and the stored keys by each
+    assert len(by_key) == 4 and sum(c.startswith("_key") for c in by_key) == 2
+    # whole records stay out of the exchanges by key
+    assert "title" not in plans["classified"][0] and "title" in records.columns
+    whole = {r["seq"]: (r["title"], r["outcome"]) for r in ingest.whole_outcomes(records, outcomes).collect()}
+    assert whole == {s: (t, got[s][0]) for s, _, _, t in rows}
+
+
+@pytest.mark.parametrize("seed", [7, 8])
+def test_outcomes_of_urls_that_return(spark, seed):
+    # few urls and fingerprints: first records of a url that are stored by fingerprint, chains, rows without fingerprint
+    rng = random.Random(seed)
+    stored = [(i, f"s{i}", f"f{i}") for i in range(8)]
+    rows = random_rows(rng, 400, 120, 150, 0.05)
+    jobs = spark.createDataFrame(stored, "id long, url string, fingerprint string")
+    frame = spark.createDataFrame(rows, "seq long, url string, fingerprint string")
+    got = {r["seq"]: (r["outcome"], r["job_id"]) for r in ingest.classify(frame, jobs, []).collect()}
+    want = load_by_row(stored, rows)
+    assert got == want and {"touch", "new", "repeat"} == {o for o, _ in want.values()}
+
+
 def test_numbered_is_dense(spark):
     rows = spark.range(1000).select(((F.col("id") * 7919) % 1000).alias("seq"))
     got = [r["id"] for r in ingest.numbered(rows, "seq", 11).orderBy("seq").collect()]
@@ -255,6 +303,19 @@ def test_loads_write_what_the_batch_touches(spark, tmp_path):
     assert written[8000] < 1.2 * written[1000]
 
 
+def test_a_fold_takes_one_exchange_of_the_postings(spark):
+    rows = spark.createDataFrame([posting(i) for i in range(1, 40)], JOBS)
+    seen = spark.createDataFrame([(3, "2024-01-01"), (3, "2024-01-03"), (25, "2024-01-02")], "id long, at string").select(
+        "id", F.col("at").cast("timestamp_ntz").alias("last_seen_at"))
+    found = store._sighted_in_buckets(rows, seen, 10)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    got = {r["id"]: (r["bucket"], r["is_active"], str(r["last_seen_at"]), str(r["updated_at"])) for r in found.collect()}
+    assert len(got) == 39 and got[4] == (0, False, "None", "None")
+    assert got[3] == (0, True, *["2024-01-03 00:00:00"] * 2) and got[25] == (2, True, *["2024-01-02 00:00:00"] * 2)
+    want = store.sighted(rows, seen).select(*rows.columns).collect()
+    assert sorted(map(str, found.select(*rows.columns).collect())) == sorted(map(str, want))
+
+
 def test_repeated_steps_give_the_same_table(spark, tmp_path, monkeypatch):
     folder = str(tmp_path / "jobs")
     jobs = spark.createDataFrame([posting(i) for i in range(1, 31)], JOBS)
