@@ -16,8 +16,10 @@ largest value in it, and the exact vectors in a column of their own.
 4. What the blocks found is ranked per query.
 
 The meeting of blocks is an equi join: query blocks are dealt to slices, and
-vector blocks belong to one slice each.  Reading is a sorted stream in which a
-block comes before the candidates that ask for it.
+vector blocks belong to one slice each.  It is a merge join on purpose: blocks
+are far larger in memory than in files, queries dealt out as often as there are
+slices, so no side may be broadcast for the size of its file.  Reading is a
+sorted stream in which a block comes before the candidates that ask for it.
 """
 
 from __future__ import annotations
@@ -31,10 +33,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from postloom.llm.common import short
 from postloom.session import written
 
 FAN = 16
 ASKS = 256  # query blocks that share one read of a vector block
+BROADCAST_BLOCKS = 100_000  # up to that many vector blocks, what is known per block is broadcast
 
 
 def whole_vector(vector: Column, scale: int) -> Column:
@@ -158,15 +162,25 @@ def _opened(r: dict) -> tuple[np.ndarray, ...]:
 
 
 def _lower_bounds(k: int):
-    """Per pair of blocks, each query's k largest lower bounds."""
+    """Each query's k largest lower bounds over the vector blocks that its block meets one after the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        last = part = best = None
+        told = lambda: _batch({"qb": last, "part": part, "best": best.tobytes()})
+        for b in short(batches, 1):
             for r in b.to_pylist():
                 q, qids, _, ids, lo, hi = _opened(r)
                 found = bounds(q, lo, hi, upper=False).astype(np.float64)
                 found[qids[:, None] == ids[None, :]] = -np.inf
-                yield _batch({"qb": r["qb"], "part": zlib.crc32(r["vb"].encode()), "best": _top(found, k).tobytes()})
+                found = _top(found, k)
+                if r["qb"] == last:
+                    best = _top(np.concatenate([best, found], axis=1), k)
+                    continue
+                if last is not None:
+                    yield told()
+                last, part, best = r["qb"], zlib.crc32(r["vb"].encode()), found
+        if last is not None:
+            yield told()
 
     return run
 
@@ -204,7 +218,7 @@ ASKED = "vb string, qb string, dim long, rows binary, many binary, at binary, bo
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per pair of blocks, the vectors that may reach a query's floor, best bound first, and the queries that have any."""
-    for b in batches:
+    for b in short(batches, 1):
         for r in b.to_pylist():
             q, qids, live, ids, lo, hi = _opened(r)
             floor, upper = np.frombuffer(r["floor"], np.float64), bounds(q, lo, hi, upper=True).astype(np.float64)
@@ -306,9 +320,11 @@ def top_k(
     cells = file.drop("kind", "exact").withColumn("slice", F.pmod(F.xxhash64("vb"), F.lit(slices)).cast("int"))
     dealt = lambda asking: asking.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
 
-    lower = cells.join(dealt(asked), ["dim", "slice"])
-    best = lower.mapInArrow(_lower_bounds(k), "qb string, part long, best binary")
-    parts = blocks
+    # a block of queries meets the blocks of a slice one after the other
+    meet = lambda asking: dealt(asking).join(cells.hint("merge"), ["dim", "slice"])
+
+    best = meet(asked).mapInArrow(_lower_bounds(k), "qb string, part long, best binary")
+    parts = slices
     while True:
         parts = -(-parts // FAN)
         best = best.withColumn("part", F.col("part") % max(1, parts)).groupBy("qb", "part").applyInArrow(
@@ -317,10 +333,11 @@ def top_k(
         if parts <= 1:
             break
     floors = best.mapInArrow(_floors(k), "qb string, floor binary")
-    sure = written(asked.join(floors, "qb"), "va-floors")
+    sure = written(asked.join(floors.hint("merge"), "qb"), "va-floors")
 
-    asks = written(cells.join(dealt(sure), ["dim", "slice"]).mapInArrow(_candidates, ASKED), "va-candidates")
+    asks = written(meet(sure).mapInArrow(_candidates, ASKED), "va-candidates")
     shares = asks.groupBy("vb").agg(F.ceil(F.count(F.lit(1)) / ASKS).cast("int").alias("shares"))
+    shares = shares.hint("broadcast" if blocks <= BROADCAST_BLOCKS else "merge")
     blocks_read = file.select("vb", "ids", "kind", "exact").join(shares, "vb").select(
         "*", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
     asking = asks.join(shares, "vb").withColumn("share", F.pmod(F.xxhash64("qb"), F.col("shares")).cast("int"))

@@ -108,6 +108,31 @@ def test_passes_read_no_exact_vectors(spark, monkeypatch):
             assert "exact#" not in plan and "cell#" in plan
 
 
+def test_blocks_are_not_broadcast(spark, monkeypatch):
+    """Dealt out to all slices, small files of queries once filled the driver's memory."""
+    plans, kept = {}, topk.written
+    def watched(df, label):
+        out = kept(df, label)
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return out
+    monkeypatch.setattr(topk, "written", watched)
+    table = spark.createDataFrame([(i, [float(i % 7), float(i % 11)]) for i in range(400)], "vec_id long, embedding array<double>")
+    assert topk.top_k(table, F.col("vec_id") % 20 == 0, k=5, block_rows=64).count() == 100
+    for label in ("va-floors", "va-candidates"):
+        assert "SortMergeJoin" in plans[label] and "Broadcast" not in plans[label]
+
+
+def test_lower_bounds_of_a_slice_are_one_row_per_query_block():
+    rng = np.random.default_rng(5)
+    x, k = rng.integers(-64, 64, (300, 8)), 4
+    q = topk._query_block("q", list(range(5)), x[:5].tolist()).to_pylist()[0]
+    rows = [q | block_of(x[i : i + 100], range(i, i + 100), k, f"b{i}") for i in range(0, 300, 100)]
+    (one,) = [r for b in topk._lower_bounds(k)([pa.RecordBatch.from_pylist(rows)]) for r in b.to_pylist()]
+    each = [np.frombuffer(next(topk._lower_bounds(k)([pa.RecordBatch.from_pylist([r])])).column("best")[0].as_py()).reshape(5, k) for r in rows]
+    best = np.sort(np.concatenate(each, axis=1), axis=1)[:, -k:]
+    assert (np.sort(np.frombuffer(one["best"]).reshape(5, k), axis=1) == best).all()
+
+
 def test_archives(spark):
     big, odd = "<p>é\r\n\r\nWARC/1.1\r\n</p>" * 3000, "x\x00\x1f" * 500
     rows = [(1, "u", big), (2, None, big), (3, "http://a/\r\nb c", big), (4, "u", odd), (5, "u", odd), (6, "u", "small"), (7, "u", "small"),
